@@ -6,7 +6,7 @@ task, and the ranges' totals (a few numbers each) are added in front.
 
 ``order_statistics`` finds exact values at given ranks by narrowing: a sketch
 gives an interval around each rank, one counting pass proves that the rank is
-inside, and only the rows of that interval are grouped and ranked.
+inside, and only the few values of that interval are sorted.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 _CHUNK = 32
 SKETCH_ACCURACY = 10_000
-# Distinct values per interval that one task may sort in the last narrowing step.
+# Values per interval that one task may sort in the last narrowing step.
 RANK_LIMIT = 20_000
 
 
@@ -95,6 +95,23 @@ def running_totals(
     )
 
 
+class _Search:
+    """Ranks sought in one column, and the value interval known to hold them."""
+
+    def __init__(self, column: int, ranks: Sequence[int], held: int):
+        self.column = column
+        self.ranks = list(ranks)
+        self.low = self.high = None
+        self.below = 0
+        self.held = held
+
+    def inside(self) -> Column:
+        v = F.col(f"v{self.column}")
+        if self.low is None:
+            return v
+        return F.when((v >= F.lit(self.low)) & (v <= F.lit(self.high)), v)
+
+
 def order_statistics(
     df: DataFrame,
     columns: dict[str, Column],
@@ -102,122 +119,117 @@ def order_statistics(
     dtype: str = "double",
     limit: int = RANK_LIMIT,
     accuracy: int = SKETCH_ACCURACY,
+    guess: Callable[[int, int, int], tuple[float, float]] | None = None,
 ) -> tuple[dict[str, int], dict[str, dict[int, float | int]]]:
     """Non-null counts and exact values at 0-based ranks.
 
     ``wanted(name, n)`` lists groups of neighbouring ranks for a column with ``n``
-    non-null values. Only counts, interval ends and the answers reach the driver.
+    non-null values. ``guess(lowest, highest, n)`` may give an interval likely to
+    hold the ranks, which saves the sketch. ``df`` is read two to four times, so
+    pass a stored table. Only counts, interval ends and answers reach the driver.
     """
     names = list(columns)
     data = df.select(*[columns[c].cast(dtype).alias(f"v{i}") for i, c in enumerate(names)])
-    head = data.agg(
-        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))],
-        *[F.approx_count_distinct(f"v{i}").alias(f"d{i}") for i in range(len(names))],
-    ).first()
-    sizes = {c: head[f"n{i}"] for i, c in enumerate(names)}
+    head = data.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))]).first()
+    sizes = {c: head[i] for i, c in enumerate(names)}
 
-    # A search is [column position, ranks, low, high]; no bounds means all values.
-    searches = []
-    narrow = []
+    done, wide, rest = [], [], []
     for i, c in enumerate(names):
         groups = [list(g) for g in wanted(c, sizes[c]) if len(g)] if sizes[c] else []
-        if head[f"d{i}"] <= limit:
-            if groups:
-                searches.append([i, [r for g in groups for r in g], None, None])
+        if groups and sizes[c] <= limit:
+            done.append(_Search(i, sorted({r for g in groups for r in g}), sizes[c]))
         else:
-            for g in groups:
-                search = [i, g, None, None]
-                searches.append(search)
-                narrow.append([search, 0, sizes[c]])
-
-    while narrow:
-        narrow = _narrow(data, narrow, limit, accuracy)
+            wide += [_Search(i, g, sizes[c]) for g in groups]
 
     answers: dict[str, dict[int, float | int]] = {c: {} for c in names}
-    if not searches:
-        return sizes, answers
-    for slot, value, first, last in _ranked(data, searches):
-        i, ranks, _, _ = searches[slot]
-        for r in ranks:
-            if first <= r < last:
-                answers[names[i]][r] = value
+
+    def settle(searches: list[_Search], trials: list[tuple]) -> tuple[list, list]:
+        """Prove the trial intervals; returns searches to narrow further and hopeless ones."""
+        open_, stuck = [], []
+        for s, t in _prove(data, searches, trials):
+            if t is None or (t.held >= s.held and t.low != t.high):
+                stuck.append(s)
+            elif t.low == t.high:
+                answers[names[t.column]].update({r: t.low for r in t.ranks})
+            elif t.held <= limit:
+                done.append(t)
+            else:
+                open_.append(t)
+        return open_, stuck
+
+    if wide and guess is not None:
+        open_, stuck = settle(wide, [guess(min(s.ranks), max(s.ranks), s.held) for s in wide])
+        wide = open_ + stuck
+    while wide:
+        # Where a sketch cannot shrink the interval, all of it is ranked: exact at any width.
+        wide, stuck = settle(wide, _sketch(data, wide, accuracy))
+        rest += stuck
+
+    for search, values in zip(done, _picked(data, done) if done else ()):
+        answers[names[search.column]].update(dict(zip(search.ranks, values)))
+    for search in rest:
+        answers[names[search.column]].update(_ranked(data, search))
     return sizes, answers
 
 
-def _inside(search: list) -> Column:
-    i, _, low, high = search
-    v = F.col(f"v{i}")
-    return v if low is None else F.when((v >= F.lit(low)) & (v <= F.lit(high)), v)
+def _sketch(data: DataFrame, searches: Sequence[_Search], accuracy: int) -> list[tuple]:
+    """One pass: approximate interval ends around the ranks of every search."""
+    parts = []
+    for s in searches:
+        low = max(0.0, (min(s.ranks) - s.below) / s.held - 2.0 / accuracy)
+        high = min(1.0, (max(s.ranks) + 1 - s.below) / s.held + 2.0 / accuracy)
+        parts.append(F.percentile_approx(s.inside(), [low, high], accuracy))
+    row = data.agg(*[p.alias(f"s{j}") for j, p in enumerate(parts)]).first()
+    return [(row[j][0], row[j][1]) for j in range(len(searches))]
 
 
-def _narrow(data: DataFrame, narrow: list, limit: int, accuracy: int) -> list:
-    """One sketch pass and one proving pass; returns the searches still too wide."""
-    sketches = []
-    for search, below, count in narrow:
-        ranks = search[1]
-        low = max(0.0, (min(ranks) - below) / count - 2.0 / accuracy)
-        high = min(1.0, (max(ranks) + 1 - below) / count + 2.0 / accuracy)
-        sketches.append(F.percentile_approx(_inside(search), [low, high], accuracy))
-    ends = data.agg(*[s.alias(f"s{j}") for j, s in enumerate(sketches)]).first()
+def _prove(data: DataFrame, searches: Sequence[_Search], trials: Sequence[tuple]):
+    """One pass: each search with its trial interval, or with None if that misses a rank."""
     tried = []
-    for j, (search, _, _) in enumerate(narrow):
-        i, ranks, _, _ = search
-        tried.append([i, ranks, ends[j][0], ends[j][1]])
-    proof = data.agg(
-        *[F.count_if(F.col(f"v{t[0]}") < F.lit(t[2])).alias(f"b{j}") for j, t in enumerate(tried)],
-        *[F.count(_inside(t)).alias(f"c{j}") for j, t in enumerate(tried)],
-        *[F.approx_count_distinct(_inside(t)).alias(f"d{j}") for j, t in enumerate(tried)],
+    for s, (low, high) in zip(searches, trials):
+        t = _Search(s.column, s.ranks, 0)
+        t.low, t.high = low, high
+        tried.append(t)
+    row = data.agg(
+        *[F.count_if(F.col(f"v{t.column}") < F.lit(t.low)).alias(f"b{j}") for j, t in enumerate(tried)],
+        *[F.count(t.inside()).alias(f"c{j}") for j, t in enumerate(tried)],
     ).first()
-    wide = []
-    for j, (search, below, count) in enumerate(narrow):
-        trial = tried[j]
-        before, held, distinct = proof[f"b{j}"], proof[f"c{j}"], proof[f"d{j}"]
-        proven = before <= min(trial[1]) and max(trial[1]) < before + held
-        if not proven or (held == count and trial[2] != trial[3]):
-            # The sketch missed, or it cannot shrink the interval any more:
-            # rank what is left, which is exact at any width.
-            continue
-        search[2], search[3] = trial[2], trial[3]
-        if distinct > limit:
-            wide.append([search, before, held])
-    return wide
-
-
-def _ranked(data: DataFrame, searches: list):
-    """Rows (search, value, first rank, last rank + 1) for the wanted ranks."""
-    cells = F.array(
-        *[F.struct(F.lit(s).alias("slot"), _inside(q).alias("value")) for s, q in enumerate(searches)]
+    for j, (s, t) in enumerate(zip(searches, tried)):
+        t.below, t.held = row[f"b{j}"], row[f"c{j}"]
+        holds = t.below <= min(t.ranks) and max(t.ranks) < t.below + t.held
+        yield s, (t if holds else None)
+
+
+def _picked(data: DataFrame, searches: Sequence[_Search]) -> list[list]:
+    """Values at the ranks of searches whose intervals were counted to be small."""
+    sorted_ = data.agg(
+        *[F.sort_array(F.collect_list(s.inside())).alias(f"a{j}") for j, s in enumerate(searches)]
     )
+    row = sorted_.select(
+        *[
+            F.array(*[F.get(f"a{j}", F.lit(r - s.below)) for r in s.ranks]).alias(f"p{j}")
+            for j, s in enumerate(searches)
+        ]
+    ).first()
+    return [row[j] for j in range(len(searches))]
+
+
+def _ranked(data: DataFrame, search: _Search) -> dict[int, float | int]:
+    """Values at the ranks of a search of any width."""
     counted = (
-        data.select(F.explode(F.filter(cells, lambda c: c["value"].isNotNull())).alias("c"))
-        .groupBy(F.col("c.slot").alias("slot"), F.col("c.value").alias("value"))
+        data.select(search.inside().alias("value"))
+        .filter(F.col("value").isNotNull())
+        .groupBy("value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    bounded = [s for s, q in enumerate(searches) if q[2] is not None]
-    below = {}
-    if bounded:
-        row = data.agg(
-            *[
-                F.count_if(F.col(f"v{searches[s][0]}") < F.lit(searches[s][2])).alias(f"b{s}")
-                for s in bounded
-            ]
-        ).first()
-        below = {s: row[f"b{s}"] for s in bounded}
-    start = F.lit(0)
-    hit = F.lit(False)
-    ranked = running_totals(counted, "value", ["n"], by=["slot"])
-    for s, q in enumerate(searches):
-        start = F.when(F.col("slot") == s, F.lit(below.get(s, 0))).otherwise(start)
-    ranked = ranked.select(
-        "slot",
-        "value",
-        (start + F.col("run_n") - F.col("n")).alias("first"),
-        (start + F.col("run_n")).alias("last"),
+    run = running_totals(counted, "value", ["n"]).select(
+        "value", (F.col("run_n") - F.col("n") + search.below).alias("first"), (F.col("run_n") + search.below).alias("last")
     )
-    for s, q in enumerate(searches):
-        for r in q[1]:
-            hit = hit | ((F.col("slot") == s) & (F.col("first") <= r) & (F.col("last") > r))
-    return [(r["slot"], r["value"], r["first"], r["last"]) for r in ranked.filter(hit).collect()]
+    hit = F.lit(False)
+    for r in search.ranks:
+        hit = hit | ((F.col("first") <= r) & (F.col("last") > r))
+    rows = run.filter(hit).collect()
+    return {r: x["value"] for r in search.ranks for x in rows if x["first"] <= r < x["last"]}
 
 
 def _interpolated(ranks: dict[int, float], n: int, p: float) -> float:

@@ -53,6 +53,15 @@ def time_split_2way(df: DataFrame, test: float = 0.2) -> DataFrame:
     return df.withColumn("split", F.when(_at_or_before(cutoffs, 0), "train").otherwise("test"))
 
 
+def _hash_interval(lowest: int, highest: int, n: int) -> tuple[int, int]:
+    """Where the given ranks of ``n`` evenly spread 60-bit hashes nearly surely lie."""
+    spread = 6 * math.sqrt(n) + 6
+    top = 1 << 60
+    low = int(top * max(0.0, (lowest - spread) / n))
+    high = int(top * min(1.0, (highest + spread) / n))
+    return low, high
+
+
 def cap_rows(df: DataFrame, n: int, keys: Sequence[str] = KEYS, seed: int = SEED) -> DataFrame:
     """Exactly ``n`` rows in repeatable random order, or all rows if there are fewer.
 
@@ -61,7 +70,9 @@ def cap_rows(df: DataFrame, n: int, keys: Sequence[str] = KEYS, seed: int = SEED
     if n < 1:
         raise ValueError("n must be at least 1")
     h = row_hash(keys, seed)
-    _, found = order_statistics(df, {"h": h}, lambda _, size: [[n - 1]] if size > n else [], "long")
+    _, found = order_statistics(
+        df, {"h": h}, lambda _, size: [[n - 1]] if size > n else [], "long", guess=_hash_interval
+    )
     return df.filter(h <= F.lit(found["h"][n - 1])) if found["h"] else df
 
 
@@ -93,7 +104,7 @@ def stratified_split(
         ends[name] = _part_ends(n, fractions)
         return [[e - 1] for e in ends[name] if e > 0]
 
-    _, found = order_statistics(df, slots, wanted, "long")
+    _, found = order_statistics(df, slots, wanted, "long", guess=_hash_interval)
     part = F.lit(names[-1])
     for c in classes:
         inner = F.lit(names[-1])

@@ -22,6 +22,7 @@ from failcast.operators import (
 from failcast.plans.inputs import labelled, scored_long, scored_wide, split_panel
 from failcast.schema import CATEGORICAL, REQUIRED_COLUMNS, SENSORS, STATIC_NUMERIC, TASK_BETA, make_tasks
 from failcast.sources.machine_log import daily_panel, parse_log
+from failcast.sources.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -215,13 +216,14 @@ def class_distribution(spark, d):
 
 @query
 def row_cap(spark, d):
-    train = split_panel(spark, d).filter(F.col("split") == "train")
+    # Several passes find the cut; they read the stored rows.
+    train = stored(_train(split_panel(spark, d)).select("ID", "DATE", "RUL_DAYS"))
     return splits.cap_rows(train, 1000).select("ID", day_text(), "RUL_DAYS")
 
 
 @query
 def stratified_split(spark, d):
-    log = daily_panel(spark, d).select("ID", "DATE", "EQUIPMENT_FAILURE")
+    log = stored(daily_panel(spark, d).select("ID", "DATE", "EQUIPMENT_FAILURE"))
     return splits.stratified_split(log, "EQUIPMENT_FAILURE").withColumn("DATE", F.col("DATE").cast("string"))
 
 
@@ -260,7 +262,7 @@ def _train(df: DataFrame) -> DataFrame:
 
 @query
 def impute_median(spark, d):
-    df = split_panel(spark, d)
+    df = stored(split_panel(spark, d))
     fills = prep.medians(_train(df), SENSORS)
     filled = [F.round(F.coalesce(F.col(s), F.lit(fills[s])), 6).alias(s) for s in SENSORS]
     return df.select("ID", day_text(), "split", *filled)
@@ -274,7 +276,7 @@ def impute_mode(spark, d):
 
 @query
 def standardize(spark, d):
-    df = split_panel(spark, d)
+    df = stored(split_panel(spark, d))
     columns = [*STATIC_NUMERIC, *SENSORS]
     model = prep.PanelEncoder(categorical=(), numeric=columns).fit(_train(df))
     values = prep.vector_to_array(F.col("features"))
@@ -285,7 +287,7 @@ def standardize(spark, d):
 @query
 def one_hot(spark, d):
     """Rows per position of the one-hot vector."""
-    df = split_panel(spark, d)
+    df = stored(split_panel(spark, d))
     model = prep.PanelEncoder(categorical=CATEGORICAL, numeric=()).fit(_train(df))
     bits = model.transform(df).select("split", F.posexplode(prep.vector_to_array(F.col("features"))))
     return (
@@ -488,7 +490,7 @@ def tune_policy(spark, d):
 
 @query
 def confidence_summary(spark, d):
-    out = horizons.confidence_summary(_chosen(spark, d))
+    out = horizons.confidence_summary(stored(_chosen(spark, d).select("pred_conf")))
     return out.select(*rounded(*out.columns))
 
 

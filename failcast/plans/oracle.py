@@ -201,6 +201,8 @@ def build() -> dict[str, str]:
             from log where not {bad_day}""",
     )
     sql["date_formats"] = _with(_PANEL, f"select ID, {_D}, EQUIPMENT_FAILURE from log where not {bad_day}")
+    sql["csv_log"] = sql["daily_panel"]
+    sql["merged_days"] = _with(_PANEL, f"select ID, {_D}, MANUFACTURER, S5, EQUIPMENT_FAILURE from log")
     sql["first_failure"] = _with(
         _RUL, "select ID, cast(FIRST_FAILURE_DATE as varchar) as FIRST_FAILURE_DATE from ff"
     )
@@ -317,8 +319,6 @@ def build() -> dict[str, str]:
         st as (select {stat} from filled where split = 'train')""",
         f"select ID, {_D}, split, {z} from filled, st",
     )
-    hot = []
-    position = 0
     parts = []
     for i, c in enumerate(("REGION_CLUSTER", "MAINTENANCE_VENDOR", "MANUFACTURER")):
         parts.append(f"select {i} as col, {c} as value, split from sp")
@@ -580,6 +580,18 @@ sc as (
                 round({' + '.join(f'{i + 1} * nth_value(S16, {i + 1}) {w}' for i in range(10))}, 4) as weighted
               from sp) where k = 10""",
     )
+    past = "over (partition by ID, split order by DATE rows between 7 preceding and 1 preceding)"
+    sql["rolling_features_per_split"] = _with(
+        _SPLIT,
+        f"""select ID, {_D}, split, lag(S16) over (partition by ID, split order by DATE) as S16_lag1,
+              round(case when count(S16) {past} >= 2 then avg(S16) {past} end, 6) as S16_roll7_mean from sp""",
+    )
+    sql["smote"] = _with(
+        _PANEL
+        + """, k as (select EQUIPMENT_FAILURE as y, floor(count(*) * 0.7 + 0.5) as n from log group by 1)""",
+        """select y as EQUIPMENT_FAILURE, 0 as synthetic, cast(n as bigint) as n from k
+           union all select y, 1, cast((select max(n) from k) - n as bigint) from k where n < (select max(n) from k)""",
+    )
     sql["prediction_preview"] = _with(
         _WIDE, f"select ID, {_D}, RUL_DAYS, RUL_PRED from wide where split = 'test' order by ID, wide.DATE limit 10"
     )

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from failcast.functions.columns import parse_date, parse_date_any, to_flag
 from failcast.schema import (
@@ -64,16 +65,26 @@ def merge_days(df: DataFrame) -> DataFrame:
     return df.groupBy("ID", "DATE").agg(*texts, *means, F.max(FLAG).alias(FLAG))
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet table; its schema is read from the file once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Machine log derived from the order tables: a machine is a supplier.
 
     Order lines shrink to one row per supplier and ship date before any join, so
-    the joins and the later windows see days, not lines. Spark broadcasts the
-    supplier side only while its size allows it.
+    the joins and the later windows see days, not lines.
     """
 
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return read_table(spark, sf_dir, name)
 
     lines = table("lineitem")
     fault = (
@@ -92,28 +103,23 @@ def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("l_discount").alias("S19"),
         F.max(F.when(fault, 1).otherwise(0)).alias(FLAG),
     )
-    places = (
-        table("supplier")
-        .join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            F.col("s_suppkey").alias("ID"),
-            F.col("r_name").alias("REGION_CLUSTER"),
-            F.col("n_name").alias("MANUFACTURER"),
-        )
-    )
-    machine = Window.partitionBy("ID")
+    # Each lookup is joined on its own, so Spark knows its size from the file: it
+    # broadcasts a small one and sort-merges a large one.
+    by_day = Window.partitionBy("ID").orderBy("DATE")
+    whole = by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         days.filter(F.col("DATE").isNotNull())
-        .join(places, "ID")
+        .join(table("supplier"), F.col("ID") == F.col("s_suppkey"))
+        .join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
             "ID",
             "DATE",
-            "REGION_CLUSTER",
+            F.col("r_name").alias("REGION_CLUSTER"),
             F.concat(F.lit("V"), (F.col("ID") % 5).cast("string")).alias("MAINTENANCE_VENDOR"),
-            "MANUFACTURER",
+            F.col("n_name").alias("MANUFACTURER"),
             (F.col("ID") % 8).cast("int").alias("WELL_GROUP"),
-            F.datediff("DATE", F.min("DATE").over(machine)).cast("double").alias("AGE_OF_EQUIPMENT"),
+            F.datediff("DATE", F.min("DATE").over(whole)).cast("double").alias("AGE_OF_EQUIPMENT"),
             "S5",
             "S8",
             "S13",
