@@ -51,7 +51,7 @@ def running_totals(
     value that fills a third of the data is one row here. ``by`` must not be null
     and have few values (tasks, models, repeats).
     """
-    n = ranges or _range_count(df)
+    n = max(2, ranges or _range_count(df))
     keys = list(by) or ["_all"]
     rows = df if by else df.withColumn("_all", F.lit(0))
 

@@ -166,37 +166,31 @@ def tuned_evaluation(
     on_val, on_test = F.col(split) == "val", F.col(split) == "test"
     quality = curve_f_score(beta)
     best = F.struct((-quality).alias("q"), F.col("score").alias("score"))
+    some = F.col("positives") > 0
     area = F.col("pos") / F.col("positives") * _precision()
+    above = (F.col("tp") - F.col("pos")) + F.col("pos") / 2
     tuned = points.groupBy(*by).agg(
         F.min(F.when(on_val, best)).alias("_best"),
-        F.sum(F.when(on_val & (F.col("positives") > 0), area)).alias("_val_ap"),
+        F.sum(F.when(on_val & some, area)).alias("_val_ap"),
+        F.sum(F.when(on_test & some, area)).alias("_test_ap"),
+        F.sum(F.when(on_test, above * (F.col("n") - F.col("pos")))).alias("_pairs"),
         F.max(F.when(on_val, F.col("positives"))).alias("positives_val"),
-    )
-    tuned = tuned.select(
-        *by,
-        F.coalesce(F.col("_best.score"), F.lit(0.5)).alias("threshold"),
-        F.coalesce(F.col("_val_ap"), F.lit(0.0)).alias("val_pr_auc"),
-        "positives_val",
-    )
-    # One threshold per group.
-    at = points.join(F.broadcast(tuned), list(by))
+        F.max(F.when(on_test, F.col("positives"))).alias("positives_test"),
+        F.max(F.when(on_test, F.col("total"))).alias("_total"),
+    ).withColumn("threshold", F.coalesce(F.col("_best.score"), F.lit(0.5)))
+    tuned = tuned.withColumn("val_pr_auc", F.coalesce(F.col("_val_ap"), F.lit(0.0)))
+    # One threshold per group; the counted scores are those of the sweep's own shuffle.
+    at = score_counts(scored, [*by, split]).join(F.broadcast(tuned), list(by))
     hit = F.col("score") >= F.col("threshold")
-    measured = at.groupBy(*by, "threshold", "val_pr_auc", "positives_val").agg(
+    facts = ("threshold", "val_pr_auc", "positives_val", "positives_test", "_total", "_test_ap", "_pairs")
+    measured = at.groupBy(*by, *facts).agg(
         *[
             F.coalesce(F.sum(F.when(where & hit, F.col(c))), F.lit(0)).alias(f"_{w}_{c}")
             for w, where in (("val", on_val), ("test", on_test))
             for c in ("pos", "n")
-        ],
-        F.max(F.when(on_test, F.col("positives"))).alias("positives_test"),
-        F.max(F.when(on_test, F.col("total"))).alias("_total"),
-        F.sum(F.when(on_test & (F.col("positives") > 0), area)).alias("_ap"),
-        F.sum(
-            F.when(
-                on_test,
-                ((F.col("tp") - F.col("pos")) + F.col("pos") / 2) * (F.col("n") - F.col("pos")),
-            )
-        ).alias("_pairs"),
+        ]
     )
+
     def scores(w: str):
         tp, hits, positives = F.col(f"_{w}_pos"), F.col(f"_{w}_n"), F.col(f"positives_{w}")
         return ratio(tp, hits), ratio(tp, positives)
@@ -213,7 +207,7 @@ def tuned_evaluation(
         r.alias("recall"),
         f_score(p, r).alias("f1"),
         f_score(p, r, beta).alias("fbeta"),
-        F.coalesce("_ap", F.lit(0.0)).alias("pr_auc"),
+        F.coalesce("_test_ap", F.lit(0.0)).alias("pr_auc"),
         F.when(both > 0, F.col("_pairs") / both).alias("roc_auc"),
         (F.col("_test_n") / F.col("_total")).alias("alert_rate"),
         "positives_val",

@@ -55,17 +55,26 @@ def rolling_features(
     order = _order(keys)
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = df.withColumns({f"_at_{s}": F.count(s).over(so_far).cast("double") for s in sensors})
-    new = {}
+
+    # Each sliding aggregate is computed once; the features follow by arithmetic.
+    parts, new = {}, {}
     for s in sensors:
-        new[f"{s}_lag1"] = F.lag(s).over(order)
-        new[f"{s}_delta1"] = F.col(s) - F.lag(s).over(order)
+        parts[f"{s}_lag1"] = F.lag(s).over(order)
+        new[f"{s}_delta1"] = F.col(s) - F.col(f"{s}_lag1")
         for w in windows:
             past = order.rowsBetween(-w, -1)
-            enough = F.count(s).over(past) >= max(2, w // 3)
-            new[f"{s}_roll{w}_mean"] = F.when(enough, F.avg(s).over(past))
-            new[f"{s}_roll{w}_std"] = F.when(enough, F.stddev_samp(s).over(past))
-            new[f"{s}_roll{w}_slope"] = F.when(enough, F.regr_slope(s, f"_at_{s}").over(past))
-    return placed.withColumns(new).drop(*[f"_at_{s}" for s in sensors])
+            k = F.col(f"_k_{s}_{w}")
+            parts[f"_k_{s}_{w}"] = F.count(s).over(past)
+            parts[f"_sum_{s}_{w}"] = F.sum(s).over(past)
+            parts[f"_std_{s}_{w}"] = F.stddev_samp(s).over(past)
+            parts[f"_cov_{s}_{w}"] = F.covar_pop(s, f"_at_{s}").over(past)
+            enough = k >= max(2, w // 3)
+            new[f"{s}_roll{w}_mean"] = F.when(enough, F.col(f"_sum_{s}_{w}") / k)
+            new[f"{s}_roll{w}_std"] = F.when(enough, F.col(f"_std_{s}_{w}"))
+            # k successive positions have the variance (k * k - 1) / 12.
+            new[f"{s}_roll{w}_slope"] = F.when(enough, F.col(f"_cov_{s}_{w}") / ((k * k - 1) / 12))
+    spare = [c for c in (*parts, *[f"_at_{s}" for s in sensors]) if c.startswith("_")]
+    return placed.withColumns(parts).withColumns(new).drop(*spare)
 
 
 def rolling_feature_names(

@@ -138,7 +138,8 @@ def fit_svd(df: DataFrame, column: str, out: str, components: int) -> Projection
     rows = MLUtils.convertVectorColumnsFromML(df.select(column), column)
     matrix = RowMatrix(rows)
     width = matrix.numCols()
-    svd = matrix.computeSVD(min(components, width))
+    # One-hot blocks depend on each other; directions without weight are left out.
+    svd = matrix.computeSVD(min(components, width), rCond=1e-6)
     return Projection(column, out, np.asarray(svd.V.toArray()))
 
 
