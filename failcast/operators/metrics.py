@@ -336,11 +336,14 @@ def data_profile(df: DataFrame, label: str, rul: str) -> DataFrame:
     )
 
 
-def segment_failure_rate(df: DataFrame, attribute: str, label: str) -> DataFrame:
-    """Failure likelihood by a machine attribute."""
-    return df.groupBy(F.coalesce(F.col(attribute).cast("string"), F.lit("unknown")).alias("value")).agg(
-        F.lit(attribute).alias("attribute"),
+def segment_failure_rate(df: DataFrame, attributes: Sequence[str], label: str) -> DataFrame:
+    """Failure likelihood by each value of each attribute, in one pass."""
+    cells = F.array(
+        *[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes]
+    )
+    rows = df.select(F.col(label).alias("_y"), F.inline(cells))
+    return rows.groupBy("attribute", F.coalesce("value", F.lit("unknown")).alias("value")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.col(label).cast("long")).alias("positives"),
-        F.avg(label).alias("rate"),
+        F.sum(F.col("_y").cast("long")).alias("positives"),
+        F.avg("_y").alias("rate"),
     )

@@ -36,7 +36,7 @@ from failcast.schema import CATEGORICAL
 VARIANTS = ("baseline", "pca_num", "svd_cat", "both")
 # Categories beyond this number are hashed to a fixed width instead of indexed.
 INDEX_LIMIT = 10_000
-HASH_WIDTH = 1 << 18
+HASH_WIDTH = 1 << 14
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:

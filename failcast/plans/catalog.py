@@ -521,15 +521,8 @@ def best_flags(spark, d):
 
 @query
 def segment_failure_rate(spark, d):
-    log = daily_panel(spark, d)
-    # One pass: each row counts once for each of its attributes.
-    cells = F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(c).alias("value")) for c in CATEGORICAL])
-    rows = log.select("EQUIPMENT_FAILURE", F.inline(cells))
-    return rows.groupBy("attribute", F.coalesce("value", F.lit("unknown")).alias("value")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("EQUIPMENT_FAILURE").cast("long")).alias("positives"),
-        F.round(F.avg("EQUIPMENT_FAILURE"), 6).alias("rate"),
-    )
+    table = metrics.segment_failure_rate(daily_panel(spark, d), CATEGORICAL, "EQUIPMENT_FAILURE")
+    return table.withColumn("rate", F.round("rate", 6))
 
 
 @query
