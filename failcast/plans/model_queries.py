@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from failcast.functions.columns import within
-from failcast.operators import features, importance, labels, models, splits
+from failcast.operators import baselines, curves, features, importance, labels, models, splits, tuning
 from failcast.operators.prep import PanelEncoder, make_preprocessor
 from failcast.operators.resample import smote as oversample
 from failcast.plans import experiments as x
@@ -163,8 +164,6 @@ def calibrated_best(spark, d):
 
 @query
 def permutation_importance(spark, d):
-    from pyspark.ml import PipelineModel
-
     df = stored(splits.time_split_2way(labels.advance_label(daily_panel(spark, d), 7)))
     df = df.withColumn("label", F.col("FAIL_WITHIN_HORIZON"))
     encoder = PanelEncoder(CATEGORICAL, [*STATIC_NUMERIC, *SENSORS], scale=False).fit(_train(df))
@@ -241,8 +240,6 @@ def resampled_models(spark, d):
 
 def _baseline_results(spark, d):
     df = stored(splits.time_split(labelled(spark, d)).select("ID", "DATE", "split", "RUL_DAYS"))
-    from failcast.operators import baselines, curves, tuning
-
     df = df.withColumn("label", within(F.col("RUL_DAYS"), 7))
     scored = baselines.id_rate_baseline(df, "label").select("split", "label", "score")
     table = curves.tuned_evaluation(
