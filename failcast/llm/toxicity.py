@@ -167,7 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Toxi
     """Model from the texts of ``docs`` that ``labels`` (``doc_id, toxic``) marks."""
     spark = docs.sparkSession
     known = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    labelled = docs.select("doc_id", "text").join(known, "doc_id")
+    # Labels grow with the corpus: the join is a merge at every size, the one shuffle of texts.
+    labelled = docs.select("doc_id", "text").join(known.hint("merge"), "doc_id")
     counts = np.zeros((2, SYMBOLS**ORDER), np.int64)
     # At most two rows per cell of a fixed table.
     cells = gram_counts(labelled).toArrow()
@@ -189,7 +190,9 @@ def _calibrate(docs: DataFrame, known: DataFrame, shared, sample_rows: int) -> t
     def evidence_of(texts: pd.Series) -> pd.Series:
         return pd.Series(text_evidence(pa.Array.from_pandas(texts, type=pa.string()), shared.value))
 
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", evidence_of("text").alias("x")).toArrow()
+    # The sample's bound makes it safe to broadcast; texts stay where they are.
+    sampled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = sampled.select("toxic", evidence_of("text").alias("x")).toArrow()
     x, y = rows.column("x").to_numpy(), rows.column("toxic").to_numpy()
     if len(np.unique(y)) < 2:
         return 0.0, 0.0
