@@ -14,6 +14,7 @@ packed as often as it stands there.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -26,17 +27,22 @@ from pyspark.sql import functions as F
 
 from failcast.sources.storage import stored
 
-#: Words remembered per task; then the memory is emptied.
-REMEMBERED = 300_000
+#: Words remembered by a worker; then its memory is emptied.
+REMEMBERED = 1_000_000
+#: Documents encoded together, and new words in one text for the tokenizer.
+TOGETHER, JOINED = 128, 256
 #: Emptiest bins that the local search works on in turn.
 EMPTIEST = 32
+_STOPS = b".,;:!?"
 
 
 class WordEncoder:
     """Token ids of texts as little-endian bytes, word by word.
 
-    The vocabulary's normalizer and splitter never join characters across ASCII white space, so
-    ids of a text are the ids of its words in a row.
+    The vocabulary lowers case, and its normalizer and splitter never join characters across
+    ASCII white space or between a letter or digit and an ASCII stop after it. So the ids of a
+    text are the ids of its words and stops in a row. New words of letters alone are one unit
+    each, which ends with an end-of-word token: they are encoded many at once and cut there.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -44,17 +50,63 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        tokens = (self.tokenizer.id_to_token(i) or "" for i in range(size))
+        self.ends = np.array([t.endswith("</w>") for t in tokens], bool)
         self.known: dict[bytes, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        words = text.encode().split()
-        if len(self.known) > REMEMBERED:
+        self.parts: dict[bytes, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4") for e in found]
+
+    def _learn_parts(self, new: set[bytes]) -> None:
+        words = {w: w.decode() for w in new}
+        letters = [w for w, t in words.items() if t.isalpha()]
+        groups = [letters[k : k + JOINED] for k in range(0, len(letters), JOINED)]
+        alone = [w for w, t in words.items() if not t.isalpha()]
+        for group, ids in zip(groups, self._ids([" ".join(words[w] for w in g) for g in groups]), strict=True):
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(group) or cuts[-1] != len(ids):
+                alone += group
+                continue
+            data, stops = ids.tobytes(), (4 * cuts).tolist()
+            self.parts.update(
+                (w, data[a:b]) for w, a, b in zip(group, [0, *stops[:-1]], stops, strict=True)
+            )
+        self.parts.update((w, x.tobytes()) for w, x in zip(alone, self._ids([words[w] for w in alone]), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        # A special token's name is one only in its own case.
+        split = [None if "<|" in t else t.encode().lower().split() for t in texts]
+        self._learn(split)
+        get = self.known.__getitem__
+        return [
+            self._ids([t])[0].tobytes() if words is None else b"".join(map(get, words))
+            for t, words in zip(texts, split, strict=True)
+        ]
+
+    def _learn(self, split: list[list[bytes] | None]) -> None:
+        words = {w for x in split if x for w in x}
+        new = words.difference(self.known)
+        if len(self.known) + len(self.parts) + len(new) > REMEMBERED:
             self.known.clear()
-        new = list({w for w in words if w not in self.known})
-        if new:
-            ids = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, ids, strict=True))
-        return b"".join(map(self.known.__getitem__, words))
+            self.parts.clear()
+            new = words
+        cut = {}
+        for word in new:
+            core = word.rstrip(_STOPS)
+            apart = len(core) < len(word) and core and core.decode().lower()[-1].isalnum()
+            cut[word] = (core, word[len(core) :]) if apart else (word,)
+        self._learn_parts({p for parts in cut.values() for p in parts if p not in self.parts})
+        for word, parts in cut.items():
+            self.known[word] = b"".join([self.parts[p] for p in parts])
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(vocabulary: str) -> WordEncoder:
+    """One encoder per worker: tasks that follow know the words of those before."""
+    return WordEncoder(vocabulary)
 
 
 PIECES = pa.schema(
@@ -74,17 +126,20 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
+        encoder = _encoder(vocabulary)
         row = 0
         for batch in batches:
             out: list[tuple[int, ...]] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + end
-                size = len(ids) // 4
-                for k, start in enumerate(range(0, size, capacity)):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    out.append((doc, k, start, len(part) // 4, zlib.crc32(part), row))
-                    row += 1
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                encoded = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+                for doc, ids in zip(part.column(0).to_pylist(), encoded, strict=True):
+                    ids += end
+                    size = len(ids) // 4
+                    for k, start in enumerate(range(0, size, capacity)):
+                        piece = ids[4 * start : 4 * (start + capacity)]
+                        out.append((doc, k, start, len(piece) // 4, zlib.crc32(piece), row))
+                        row += 1
             columns = list(zip(*out, strict=True)) or [()] * len(PIECES)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, PIECES.types, strict=True)], schema=PIECES
