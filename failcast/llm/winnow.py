@@ -124,15 +124,16 @@ def segments(elements: Elements, offsets: np.ndarray, window: int, gram: int) ->
     return {k: np.concatenate(x).astype(np.int64) for k, x in zip(names, zip(*parts, strict=True), strict=True)}
 
 
-SEEDS = "state int, h long, c long, doc_id long, start long, n int, many int"
-_SEEDS = pa.schema(
-    [("state", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())]
-    + [("n", pa.int32()), ("many", pa.int32())]
-)
-SPANS = "doc_id long, start long, n int, kind int, h long"
-_SPANS = pa.schema(
-    [("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("kind", pa.int32()), ("h", pa.int64())]
-)
+#: ``place`` holds start, number of windows (below 128) and three flags in one number.
+SEEDS = "h long, c long, doc_id long, place long"
+_SEEDS = pa.schema([(k, pa.int64()) for k in ("h", "c", "doc_id", "place")])
+SPANS = "doc_id long, place long, h long"
+_SPANS = pa.schema([(k, pa.int64()) for k in ("doc_id", "place", "h")])
+DONE, MANY = 1, 2
+
+
+def _place(start: np.ndarray, n: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    return start << 10 | n << 3 | flags
 
 
 def _batch(schema: pa.Schema, *columns: np.ndarray) -> pa.RecordBatch:
@@ -146,48 +147,44 @@ def with_ids(docs: DataFrame) -> DataFrame:
 
 
 def combine(ids: np.ndarray, found: dict[str, np.ndarray], first_stays: bool) -> pa.RecordBatch:
-    """Seeds of a batch, equal segments combined; ``state`` 1 marks those that are done."""
+    """Seeds of a batch, equal segments combined; those that are done are flagged."""
     doc = ids[found["text"]]
     key = found["h"] ^ mix(found["c"].view(np.uint64)).view(np.int64)
     order = np.lexsort((found["start"], doc, key))
     key, doc = key[order], doc[order]
     start, n, h, c = (found[k][order] for k in ("start", "n", "h", "c"))
-    same = np.zeros(len(key), bool)
-    same[1:] = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
-    key, doc, start, n, h, c = (x[~same] for x in (key, doc, start, n, h, c))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
+    key, doc, start, n, h, c = (x[new] for x in (key, doc, start, n, h, c))
     heads = run_starts([key])
     done = np.ones(len(key), bool)
     done[heads] = False
-    many = np.ones(len(key), np.int64)
-    many[heads] = np.diff(np.append(heads, len(key))) if not first_stays else 1
-    place = mix(doc.view(np.uint64) * _BASE + start.view(np.uint64)).view(np.int64)
-    return _batch(_SEEDS, done.astype(np.int32), np.where(done, place, h), c, doc, start, n, np.minimum(many, 2))
+    many = np.zeros(len(key), bool)
+    many[heads] = (np.diff(np.append(heads, len(key))) > 1) & (not first_stays)
+    spread = mix(doc.view(np.uint64) * _BASE + start.view(np.uint64)).view(np.int64)
+    place = _place(start, n, np.where(done, DONE, 0) | np.where(many, MANY, 0))
+    return _batch(_SEEDS, np.where(done, spread, h), np.where(done, 0, c), doc, place)
 
 
 def _judge(rows: pa.Table, first_stays: bool) -> pa.RecordBatch:
     """Spans of whole groups of seeds with the same anchor, sorted by content, id and place."""
-    state, h, c, doc, start, n, many = (rows.column(k).to_numpy() for k in _SEEDS.names)
-    same = np.zeros(len(h), bool)
-    same[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
-    keep = ~same | (state == 1)
-    state, h, c, doc, start, n, many = (x[keep] for x in (state, h, c, doc, start, n, many))
-    groups = run_starts([state, h])
-    contents = run_starts([state, h, c])
-    of = np.zeros(len(h), np.int64)
-    of[contents] = 1
-    of = np.cumsum(of) - 1
-    count = np.add.reduceat(many.astype(np.int64), contents)[of]
+    h, c, doc, place = (rows.column(k).to_numpy() for k in _SEEDS.names)
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] >> 3 != place[:-1] >> 3)
+    h, c, doc, place = (x[new] for x in (h, c, doc, place))
+    done, many = (place & DONE) > 0, (place & MANY) > 0
+    groups, contents = run_starts([h]), run_starts([h, c])
     head = np.zeros(len(h), bool)
     head[contents] = True
-    kinds = np.zeros(len(h), np.int64)
-    kinds[groups] = 1
-    group = np.cumsum(kinds) - 1
-    contents_in = np.add.reduceat(head.astype(np.int64), groups)[group]
-    whole = (state == 1) | (~head if first_stays else count > 1)
-    compare = (state == 0) & head & (contents_in > 1)
-    kind = np.where(whole, WHOLE, 0) + np.where(compare, COMPARE, 0)
+    count = np.add.reduceat(1 + many, contents)[np.cumsum(head) - 1]
+    first = np.zeros(len(h), bool)
+    first[groups] = True
+    kinds = np.add.reduceat((head & ~done).astype(np.int64), groups)[np.cumsum(first) - 1]
+    whole = done | (~head if first_stays else count > 1)
+    compare = ~done & head & (kinds > 1)
+    kind = np.where(whole, WHOLE, 0) | np.where(compare, COMPARE, 0)
     out = kind > 0
-    return _batch(_SPANS, doc[out], start[out], n[out], kind[out], h[out])
+    return _batch(_SPANS, doc[out], (place >> 3 << 3 | kind)[out], np.where(compare, h, 0)[out])
 
 
 def seed_spans(
@@ -205,11 +202,11 @@ def seed_spans(
             yield combine(ids, segments(elements, offsets, window, gram), first_stays)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in sorted_runs(batches, ["state", "h"]):
+        for rows in sorted_runs(batches, ["h"]):
             yield _judge(rows, first_stays)
 
     seeds = docs.mapInArrow(scan, SEEDS)
-    dealt = seeds.repartition("h").sortWithinPartitions("state", "h", "c", "doc_id", "start")
+    dealt = seeds.repartition("h").sortWithinPartitions("h", "c", "doc_id", "place")
     return dealt.mapInArrow(judge, SPANS)
 
 
@@ -230,7 +227,11 @@ def resolve(
     Documents without open segments are finished in the first pass; only the texts of the others
     travel a second time.
     """
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "kind", "h")).alias("spans"))
+    kind = F.col("place").bitwiseAND(7)
+    per_doc = spans.groupBy("doc_id").agg(
+        F.collect_list(F.when(kind.bitwiseAND(WHOLE) > 0, F.col("place"))).alias("whole"),
+        F.collect_list(F.when(kind.bitwiseAND(COMPARE) > 0, F.struct("place", "h"))).alias("open"),
+    )
     joined = docs.join(per_doc.hint("merge"), "doc_id", "left")
     result = [c.strip().split(" ", 1) for c in schema.split(",")]
     # One table of three kinds of rows: results, segments to compare, documents that wait for them.
@@ -242,9 +243,8 @@ def resolve(
             for at in range(0, batch.num_rows, 256):
                 rows: list[dict] = []
                 for row in batch.slice(at, 256).to_pylist():
-                    found = row["spans"] or []
-                    whole = [(s["start"], s["n"]) for s in found if s["kind"] & WHOLE]
-                    todo = [s for s in found if s["kind"] & COMPARE]
+                    whole = [_start_and_n(p) for p in row["whole"] or []]
+                    todo = [(s["h"], *_start_and_n(s["place"])) for s in row["open"] or []]
                     if not todo:
                         values = finish(row["text"], *_columns(whole))
                         rows.append({"doc_id": row["doc_id"], **dict(zip(names[1:], values, strict=True))})
@@ -258,9 +258,9 @@ def resolve(
                         }
                     )
                     rows += [
-                        {"doc_id": row["doc_id"], "h": s["h"], "start": s["start"], "n": s["n"], "content": x}
-                        for s in todo
-                        if (x := cut(s["start"], s["n"]))
+                        {"doc_id": row["doc_id"], "h": h, "start": s, "n": n, "content": x}
+                        for h, s, n in todo
+                        if (x := cut(s, n))
                     ]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
@@ -281,9 +281,9 @@ def resolve(
     arrow_result = to_arrow_schema(empty.select(*names).schema)
     table = stored(joined.mapInArrow(first, fields))
     compared = table.where("content is not null").select("h", "doc_id", "start", "n", "content")
-    # Segments of repeated rows are one.
-    compared = compared.dropDuplicates(["h", "doc_id", "start"])
-    repeated = compared.repartition("h").sortWithinPartitions(*order).mapInArrow(extend, "doc_id long, start long, n int")
+    # Segments of repeated rows are one; what is dealt by anchor needs no second shuffle for that.
+    compared = compared.repartition("h").dropDuplicates(["h", "doc_id", "start"])
+    repeated = compared.sortWithinPartitions(*order).mapInArrow(extend, "doc_id long, start long, n int")
     more = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("more"))
     waiting = table.where("spans is not null").select("doc_id", "text", "spans").join(more, "doc_id", "left")
     done = table.where("content is null and spans is null").select(*names)
@@ -291,6 +291,10 @@ def resolve(
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
+def _start_and_n(place: int) -> tuple[int, int]:
+    return place >> 10, place >> 3 & 127
+
+
 def _columns(spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     both = np.array(spans, np.int64).reshape(-1, 2)
     return both[:, 0], both[:, 1]
