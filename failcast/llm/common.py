@@ -116,6 +116,24 @@ def deal(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
+def spanning_links(close: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what ``close[i, j]`` (between ``a[i]`` and ``b[j]``) connects: a forest."""
+    out: list[tuple[int, int]] = []
+    open_a, open_b = close.any(1), close.any(0)
+    for seed in np.flatnonzero(open_a).tolist():
+        if not open_a[seed]:
+            continue
+        open_a[seed] = False
+        todo = [(True, seed)]
+        while todo:
+            of_a, i = todo.pop()
+            new = np.flatnonzero(close[i] & open_b) if of_a else np.flatnonzero(close[:, i] & open_a)
+            (open_b if of_a else open_a)[new] = False
+            out += [(a[i], b[j]) if of_a else (a[j], b[i]) for j in new.tolist()]
+            todo += [(not of_a, j) for j in new.tolist()]
+    return [(x, y) for x, y in out if x != y]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest node reachable from each node that has an edge: columns ``node, root``.
 

@@ -121,6 +121,13 @@ PIECES = pa.schema(
 )
 
 
+def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """File of an installed public vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Pieces of all documents; ``row`` counts a task's rows, to deal repeated documents apart."""
     end = np.array([end_id], "<u4").tobytes()

@@ -21,7 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from failcast.llm.common import BLOCK, components, deal, run_starts, sorted_runs, split_buckets
+from failcast.llm.common import (
+    BLOCK,
+    components,
+    deal,
+    run_starts,
+    sorted_runs,
+    spanning_links,
+    split_buckets,
+)
 from failcast.sources.storage import stored
 
 #: First bit and width of each segment of 64 bits.
@@ -99,27 +107,7 @@ def _forest(members: np.ndarray, mine: np.ndarray, left: int, right: int, start:
     if not len(a) or not len(b):
         return []
     close = linked(a[:, None], b[None, :], start, bits)
-    out: list[tuple[int, int]] = []
-    open_a, open_b = np.ones(len(a), bool), np.ones(len(b), bool)
-    # Grow each tree breadth-first; every row and column is taken once.
-    for seed in range(len(a)):
-        if not open_a[seed]:
-            continue
-        open_a[seed] = False
-        todo = [(True, seed)]
-        while todo:
-            of_a, i = todo.pop()
-            if of_a:
-                new = np.flatnonzero(close[i] & open_b)
-                open_b[new] = False
-                out += [(a[i], b[j]) for j in new]
-                todo += [(False, j) for j in new]
-            else:
-                new = np.flatnonzero(close[:, i] & open_a)
-                open_a[new] = False
-                out += [(a[j], b[i]) for j in new]
-                todo += [(True, j) for j in new]
-    return [(x, y) for x, y in out if x != y]
+    return spanning_links(close, a, b)
 
 
 def fingerprint_links(distinct: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
@@ -177,9 +165,13 @@ def simhash_components(docs: DataFrame, shingle: int = 4, bits: int = 4) -> Data
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
-    """Documents without near copies of one with a smaller id; a repeated id stays once."""
-    found = simhash_components(docs, shingle, bits)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    kept = kept.distinct()
-    joined = docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
-    return joined.dropDuplicates(["doc_id"])
+    """One document of each group of near copies, the one with the smallest id; an id stays once.
+
+    Rows without an id cannot be named by a group and all stay. All columns stay.
+    """
+    named = docs.where("doc_id is not null")
+    found = simhash_components(named, shingle, bits)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    # The duplicates of an id meet where the join has brought them.
+    one = named.join(kept, named["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    return one.union(docs.where("doc_id is null"))

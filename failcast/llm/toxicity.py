@@ -213,7 +213,6 @@ def toxicity(text: str | Column, model: ToxicityModel, spark) -> Column:
     return score(text)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
     """Documents whose score is below ``threshold``; all columns stay."""
-    model = train(docs, labels)
     return docs.where(toxicity(docs["text"], model, docs.sparkSession) < threshold)
