@@ -17,6 +17,7 @@ vector (each row gets its result).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations, product
@@ -91,16 +92,23 @@ def _hash(points: np.ndarray, salt: int) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(maxsize=16)
+def _spaces(dims: int, settings: LatticeSettings) -> list[np.ndarray]:
+    """Random projections of ``dims`` to eight dimensions, the same in every task."""
+    rng = np.random.default_rng(dims)
+    n = settings.tables * settings.blocks
+    return [rng.normal(size=(dims, 8)) * (settings.scale / np.sqrt(8)) for _ in range(n)]
+
+
 def cells(vectors: np.ndarray, settings: LatticeSettings) -> np.ndarray:
     """Cells of unit vectors, a row each: per table the home cell and the probed ones."""
     dims = vectors.shape[1]
-    rng = np.random.default_rng(dims)
+    spaces = _spaces(dims, settings)
     out = []
     for t in range(settings.tables):
         homes, near = [], []
         for b in range(settings.blocks):
-            basis = rng.normal(size=(dims, 8)) * (settings.scale / np.sqrt(8))
-            y = vectors @ basis
+            y = vectors @ spaces[t * settings.blocks + b]
             point = decode(y)
             salt = (t * settings.blocks + b + 1) * 0x100000 + dims
             homes.append(_hash(point, salt))
@@ -128,16 +136,18 @@ def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, flat[starts[rows][:, None] + np.arange(size)]
 
 
-def _first_shared(unit: np.ndarray, a: np.ndarray, b: np.ndarray, cell: int, settings: LatticeSettings) -> np.ndarray:
-    """For members ``a`` and ``b``: True where a pair shares no smaller cell than ``cell``."""
-    used = np.unique(np.concatenate([a, b]))
-    of = cells(unit[used], settings)
-    smaller, column = np.unique(of, return_inverse=True)
-    column = column.reshape(of.shape)
-    marks = np.zeros((len(used), len(smaller)), np.float32)
+def _first_shared(of_a: np.ndarray, of_b: np.ndarray, cell: int) -> np.ndarray:
+    """True where members with cells ``of_a`` and ``of_b`` (rows) share none smaller than ``cell``."""
+    if len(of_a) == 1 or len(of_b) == 1:
+        one, rest = (of_a, of_b) if len(of_a) == 1 else (of_b, of_a)
+        shared = np.isin(rest, one[0][one[0] < cell]).any(1)
+        return ~shared[None, :] if len(of_a) == 1 else ~shared[:, None]
+    smaller, column = np.unique(np.concatenate([of_a, of_b]), return_inverse=True)
+    column = column.reshape(-1, of_a.shape[1])
+    marks = np.zeros((len(column), len(smaller)), np.float32)
     np.put_along_axis(marks, column, 1, axis=1)
     marks = marks[:, (smaller < cell) & (marks.sum(0) > 1)]
-    return marks[np.searchsorted(used, a)] @ marks[np.searchsorted(used, b)].T == 0
+    return marks[: len(of_a)] @ marks[len(of_a) :].T == 0
 
 
 _OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
@@ -149,13 +159,15 @@ def _compare(rows: pa.Table, settings: LatticeSettings) -> pa.RecordBatch:
         rows.column(k).to_numpy() for k in ("cell", "_left", "_right", "_mine", "rep", "mult")
     )
     edges = np.append(run_starts([cell, left, right]), len(cell))
-    counts: list[np.ndarray] = []
-    links: list[tuple[int, int]] = []
     vectors = rows.column("embedding").combine_chunks()
+    links: list[tuple[int, int]] = []
+    met: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+    # Cells of linked vectors, worked out once for all the cells that they meet in.
+    linked: dict[int, dict[int, np.ndarray]] = {}
     for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         for at, x in _matrices(vectors.slice(s, e - s)):
             unit = _unit(x)
-            own, many, part = ids[s:e][at], mult[s:e][at], mine[s:e][at]
+            part = mine[s:e][at]
             a, b = np.flatnonzero(part == left[s]), np.flatnonzero(part == right[s])
             close = unit[a] @ unit[b].T >= settings.threshold
             if left[s] == right[s]:
@@ -164,11 +176,21 @@ def _compare(rows: pa.Table, settings: LatticeSettings) -> pa.RecordBatch:
                 continue
             a_in, b_in = close.any(1), close.any(0)
             a, b, close = a[a_in], b[b_in], close[a_in][:, b_in]
-            links += spanning_links(close, own[a], own[b])
-            close &= _first_shared(unit, a, b, int(cell[s]), settings)
-            counts.append(np.stack([own[a], close @ many[b]]))
-            if left[s] != right[s]:
-                counts.append(np.stack([own[b], close.T @ many[a]]))
+            linked.setdefault(x.shape[1], {}).update(
+                (int(ids[s + at[i]]), unit[i]) for i in {*a.tolist(), *b.tolist()}
+            )
+            met.append((s, s + at[a], s + at[b], close))
+            links += spanning_links(close, ids[s + at[a]], ids[s + at[b]])
+    known: dict[int, np.ndarray] = {}
+    for of_size in linked.values():
+        known.update(zip(of_size, cells(np.stack(list(of_size.values())), settings), strict=True))
+    counts: list[np.ndarray] = []
+    for s, a, b, close in met:
+        of_a, of_b = (np.stack([known[i] for i in ids[x].tolist()]) for x in (a, b))
+        close = close & _first_shared(of_a, of_b, int(cell[s]))
+        counts.append(np.stack([ids[a], close @ mult[b]]))
+        if left[s] != right[s]:
+            counts.append(np.stack([ids[b], close.T @ mult[a]]))
     found = np.concatenate([np.zeros((2, 0), np.int64), *counts], axis=1).astype(np.int64)
     pairs = np.array(links, np.int64).reshape(-1, 2)
     n, m = found.shape[1], len(pairs)
