@@ -10,23 +10,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from failcast.llm import decontaminate, packing, pii, simhash, toxicity
-from failcast.llm.common import fold, table
+from failcast.llm.common import bounded_batches, fold, table
 from failcast.sources.storage import stored
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5 by models of the labelled rows outside the held-out fold."""
+    bounded_batches(spark)
     model = toxicity.train(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group linked at 4 or fewer bits."""
+    bounded_batches(spark)
     return simhash.keep_one_of_each(docs, shingle=4, bits=4)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of ten words that a benchmark item has."""
+    bounded_batches(spark)
     return decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark"), window=10)
 
 
@@ -37,6 +40,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all documents in sequences of 2048 tokens."""
+    bounded_batches(spark)
     return packing.pack(docs, packing.public_vocabulary(), capacity=2048)
 
 

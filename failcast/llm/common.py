@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Limits the bytes of texts that a Python worker gets at once, for this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def fold(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``; a null id counts as the text ''."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

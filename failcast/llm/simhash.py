@@ -63,7 +63,8 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
+            texts = (t.as_py() for t in batch.column(1))
+            prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(prints.view(np.int64))], schema=schema
             )

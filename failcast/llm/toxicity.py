@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -186,9 +185,9 @@ def _calibrate(docs: DataFrame, known: DataFrame, shared, sample_rows: int) -> t
     part = {c: min(1.0, sample_rows / 2 / max(1, sizes.get(c, 0))) for c in (0, 1)}
     chosen = known.where(place < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0])).limit(2 * sample_rows)
 
-    @F.pandas_udf("double")
-    def evidence_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(text_evidence(pa.Array.from_pandas(texts, type=pa.string()), shared.value))
+    @F.arrow_udf("double")
+    def evidence_of(texts: pa.Array) -> pa.Array:
+        return pa.array(text_evidence(texts, shared.value))
 
     # The sample's bound makes it safe to broadcast; texts stay where they are.
     sampled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
@@ -205,10 +204,10 @@ def toxicity(text: str | Column, model: ToxicityModel, spark) -> Column:
     """Score of a text column, 0 to 1."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         found = shared.value
-        return pd.Series(found.score(text_evidence(pa.Array.from_pandas(texts, type=pa.string()), found.evidence)))
+        return pa.array(found.score(text_evidence(texts, found.evidence)))
 
     return score(text)
 
