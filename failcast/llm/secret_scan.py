@@ -73,14 +73,14 @@ def entropy_spans(text: str, rules: EntropyRules = EntropyRules()) -> list[tuple
         counts: dict[str, int] = {}
         total = 0.0
         for i, c in enumerate(run):
-            n = counts.get(c, 0)
-            counts[c] = n + 1
-            total += log[n + 1] - log[n]
             if i >= width:
                 old = run[i - width]
                 n = counts[old]
                 counts[old] = n - 1
                 total += log[n - 1] - log[n]
+            n = counts.get(c, 0)
+            counts[c] = n + 1
+            total += log[n + 1] - log[n]
             if i >= width - 1 and total <= most:
                 start, end = match.start() + i - width + 1, match.start() + i + 1
                 if found and found[-1][1] >= start:
