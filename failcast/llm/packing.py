@@ -15,6 +15,7 @@ packed as often as it stands there.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ from failcast.sources.storage import stored
 
 #: Words remembered by a worker; then its memory is emptied.
 REMEMBERED = 1_000_000
+#: Words kept from one task to the next: those met first, mostly the common ones.
+KEPT = 100_000
 #: Documents encoded together, and new words in one text for the tokenizer.
 TOGETHER, JOINED = 128, 256
 #: Emptiest bins that the local search works on in turn.
@@ -76,6 +79,11 @@ class WordEncoder:
             )
         self.parts.update((w, x.tobytes()) for w, x in zip(alone, self._ids([words[w] for w in alone]), strict=True))
 
+    def shrink(self) -> None:
+        """Gives memory back after a task; the worker may go on with other work."""
+        self.known = dict(itertools.islice(self.known.items(), KEPT))
+        self.parts = dict(itertools.islice(self.parts.items(), KEPT))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         # A special token's name is one only in its own case.
         split = [None if "<|" in t else t.encode().lower().split() for t in texts]
@@ -151,6 +159,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int =
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, PIECES.types, strict=True)], schema=PIECES
             )
+        encoder.shrink()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         cut, "doc_id long, piece int, start long, length long, ids_crc32 long, row long"

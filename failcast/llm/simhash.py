@@ -144,10 +144,11 @@ def fingerprint_links(distinct: DataFrame, bits: int = 4, block: int = BLOCK) ->
             pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    rows = distinct.select("fp").mapInArrow(keyed, "key long, fp long")
-    tasks = split_buckets(rows, "key", "fp", block)
-    tasks = tasks.select("key", "_left", "_right", "_mine", "fp")
-    return deal(tasks, ["key", "_left", "_right"]).mapInArrow(compare, "a long, b long").distinct()
+    # Each fingerprint becomes 65 rows: spread them over the tasks of a shuffle first.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = distinct.select("fp").repartition(tasks, "fp").mapInArrow(keyed, "key long, fp long")
+    met = split_buckets(rows, "key", "fp", block).select("key", "_left", "_right", "_mine", "fp")
+    return deal(met, ["key", "_left", "_right"]).mapInArrow(compare, "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
