@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores if the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
     """Limits the bytes of texts that a Python worker gets at once, for this session."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

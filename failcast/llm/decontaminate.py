@@ -24,6 +24,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from failcast.llm.common import fresh_name
+
 #: Lower case for A-Z; what is neither digit, letter nor beyond ASCII becomes a space.
 _WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -227,7 +229,8 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, into: str
     parts = []
     for block in _blocks(benchmark):
         parts.append(_hits(spark.sparkContext.broadcast(phrases(block, window)), F.col("text")))
-    names = [f"{into}_{k}" for k in range(len(parts))]
+    names = [fresh_name(docs, f"{into}_{k}") for k in range(len(parts))]
+    merged_spans = fresh_name(docs, "_spans")
     found = docs.withColumns(dict(zip(names, parts, strict=True)))
     spans: Column = F.col(names[0])["spans"]
     if len(names) > 1:
@@ -239,15 +242,15 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, into: str
         spans = merged(*(F.col(n)["spans"] for n in names))
     items = F.array_sort(F.array_distinct(F.concat(*(F.col(n)["items"] for n in names))))
     n_hit = F.aggregate(
-        F.transform(F.col("_spans"), lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)),
+        F.transform(F.col(merged_spans), lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)),
         F.lit(0).cast("long"),
         lambda a, x: a + x,
     )
-    found = found.withColumn("_spans", spans)
+    found = found.withColumn(merged_spans, spans)
     out = F.struct(
-        F.col(names[0])["n_words"].alias("n_words"), n_hit.alias("n_hit"), items.alias("items"), F.col("_spans").alias("spans")
+        F.col(names[0])["n_words"].alias("n_words"), n_hit.alias("n_hit"), items.alias("items"), F.col(merged_spans).alias("spans")
     )
-    return found.withColumn(into, out).drop("_spans", *names)
+    return found.withColumn(into, out).drop(merged_spans, *names)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -276,7 +279,8 @@ def without_words(text: str, spans: list[int]) -> str:
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` with benchmark passages cut out of the texts; ``n_chars``, if there, is counted anew."""
-    found = with_hits(docs, benchmark, window, "_found_hits")
+    into = fresh_name(docs, "_found_hits")
+    found = with_hits(docs, benchmark, window, into)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -285,7 +289,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10
             dtype=object,
         )
 
-    out = found.withColumn("text", cut("text", "_found_hits.spans"))
+    out = found.withColumn("text", cut("text", F.col(into)["spans"]))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
