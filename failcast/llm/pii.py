@@ -14,9 +14,13 @@ per row in, repeated ids included.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from failcast.llm.common import fresh_name
+
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("iban", "national_id")
 
@@ -47,10 +51,27 @@ CONTEXT = {
     "national_id": "ssn|social|security|national|tax",
 }
 CONTEXT_GAIN, CONTEXT_WIDTH = 0.3, 40
+#: Spans worked on together: work grows with a text's length, not with its square.
+SLICE = 128
 
 _FOUND = "array<struct<start:bigint,end:bigint,match:string>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _slices(items: Column) -> Column:
+    """``items`` in arrays of ``SLICE``; the last one may be empty."""
+
+    def cut(whole: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor(F.size(whole) / SLICE).cast("int"))
+        return F.transform(numbers, lambda k: F.slice(whole, k * SLICE + 1, F.lit(SLICE)))
+
+    return _let(items, cut)
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """Start, end and text of all matches, leftmost first."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -63,8 +84,28 @@ def _matches(text: Column, pattern: str) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match"))
         return F.struct(end.alias("at"), F.array_append(state["out"], span).alias("out"))
 
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_FOUND).alias("out"))
-    return F.aggregate(sized, none, add, lambda state: state["out"])
+    return _fold(_slices(sized), _FOUND, lambda state, part: F.aggregate(part, state, add), lambda s: F.flatten(s["out"]))
+
+
+def _fold(
+    slices: Column,
+    kind: str,
+    run: Callable[[Column, Column], Column],
+    finish: Callable[[Column], Column],
+) -> Column:
+    """Runs through all slices with a state of ``at`` and ``out``; ``run`` takes a state through one.
+
+    Each slice starts with an empty array ``out`` of type ``kind``, since appending copies an array;
+    ``finish`` gets the arrays of all slices.
+    """
+
+    def step(state: Column, part: Column) -> Column:
+        empty = F.struct(state["at"].alias("at"), F.array().cast(kind).alias("out"))
+        done = run(empty, part)
+        return _let(done, lambda r: F.struct(r["at"].alias("at"), F.array_append(state["out"], r["out"]).alias("out")))
+
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.aggregate(slices, none, step, finish)
 
 
 def _digits(match: Column) -> Column:
@@ -122,20 +163,28 @@ def _kind(text: Column, kind: str) -> Column:
     else:
         may, found = F.rlike(text, F.lit(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")), _matches(text, NATIONAL_ID)
 
-    def scored(s: Column) -> Column:
-        first = F.greatest(s["start"] - CONTEXT_WIDTH, F.lit(0))
-        before = F.lower(F.substr(text, (first + 1).cast("int"), (s["start"] - first).cast("int")))
-        near = F.rlike(before, F.lit(rf"\b(?:{CONTEXT[kind]})"))
-        gain = F.when(near, CONTEXT_GAIN).otherwise(0.0)
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            F.round(F.lit(SCORES[kind]) + gain, 3).alias("score"),
-        )
+    def scored(part: Column) -> Column:
+        """Spans of a slice; contexts are cut from the slice's own region of the text."""
+        first = F.greatest(F.get(part, F.lit(0))["start"] - CONTEXT_WIDTH, F.lit(0))
+        last = F.get(part, F.size(part) - 1)["start"]
+
+        def one(region: Column, s: Column) -> Column:
+            at = F.greatest(s["start"] - CONTEXT_WIDTH, F.lit(0))
+            before = F.lower(F.substr(region, (at - first + 1).cast("int"), (s["start"] - at).cast("int")))
+            near = F.rlike(before, F.lit(rf"\b(?:{CONTEXT[kind]})"))
+            gain = F.when(near, CONTEXT_GAIN).otherwise(0.0)
+            return F.struct(
+                F.lit(kind).alias("kind"),
+                s["start"].alias("start"),
+                s["end"].alias("end"),
+                F.round(F.lit(SCORES[kind]) + gain, 3).alias("score"),
+            )
+
+        region = F.substr(text, (first + 1).cast("int"), (last - first).cast("int"))
+        return _let(region, lambda r: F.transform(part, lambda s: one(r, s)))
 
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>")
-    return F.when(may, F.transform(found, scored)).otherwise(none)
+    return F.when(may, F.flatten(F.transform(_slices(found), scored))).otherwise(none)
 
 
 def with_pii(docs: DataFrame, text: str = "text", least_score: float = 0.6, into: str = "_pii") -> DataFrame:
@@ -170,29 +219,37 @@ def mask_pii(docs: DataFrame, text: str = "text", least_score: float = 0.6) -> D
 
     A null text stays null. All columns stay; ``n_chars``, if there, is counted anew.
     """
-    spans = "_pii_spans"
+    spans = fresh_name(docs, "_pii_spans")
     found = with_pii(docs, text, least_score, spans)
     source = F.col(text)
 
-    def part(start: Column, end: Column) -> Column:
-        return F.substr(source, (start + 1).cast("int"), (end - start).cast("int"))
+    def part(region: Column, start: Column, end: Column) -> Column:
+        return F.substr(region, (start + 1).cast("int"), (end - start).cast("int"))
+
+    def run(begin: Column, slice_: Column) -> Column:
+        def through(region: Column) -> Column:
+            def add(state: Column, s: Column) -> Column:
+                label = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+                between = part(region, state["at"] - begin["at"], s["start"] - begin["at"])
+                more = F.array_append(F.array_append(state["out"], between), label)
+                fresh = F.struct(s["end"].alias("at"), more.alias("out"))
+                inside = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))
+                return F.when(s["start"] >= state["at"], fresh).otherwise(inside)
+
+            return F.aggregate(slice_, begin, add)
 
-    def add(state: Column, s: Column) -> Column:
-        label = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        more = F.array_append(F.array_append(state["out"], part(state["at"], s["start"])), label)
-        fresh = F.struct(s["end"].alias("at"), more.alias("out"))
-        inside = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))
-        return F.when(s["start"] >= state["at"], fresh).otherwise(inside)
+        return _let(part(source, begin["at"], F.get(slice_, F.size(slice_) - 1)["start"]), through)
 
     ordered = F.array_sort(
         F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     )
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    masked = F.aggregate(
-        ordered,
-        none,
-        add,
-        lambda state: F.concat(F.array_join(state["out"], ""), part(state["at"], F.length(source).cast("long"))),
+    masked = _fold(
+        _slices(ordered),
+        "array<string>",
+        run,
+        lambda state: F.concat(
+            F.array_join(F.flatten(state["out"]), ""), part(source, state["at"], F.length(source).cast("long"))
+        ),
     )
     out = found.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(source)).drop(spans)
     if "n_chars" in docs.columns:

@@ -317,6 +317,30 @@ def test_pii_method_and_mask(spark):
     assert collected(masked)[4].text == "🙂 mail [EMAIL] now, [PHONE]" and collected(masked)[5].text is None
 
 
+def test_pii_in_dense_texts(spark):
+    """Many spans, around the size of a slice and far above; context words across slices."""
+    unit = "🙂 mail a@b.cd, tel +1 555 123 4567 ip 1.2.3.4; "
+    rows = [(n, "é" * n + unit * n) for n in (0, 1, 127, 128, 129, 256, 257, 4000)]
+    docs = frame(spark, rows)
+    found, masked = collected(pii.find_pii(docs)), collected(pii.mask_pii(docs))
+    for n, t in rows:
+        base = [f"{k}:{m.start()}:{m.end()}" for k, p, ok in PII for m in re.finditer(p, t) if ok(m[0])]
+        assert len(base) == 3 * n and found[n].spans == ",".join(base)
+        assert masked[n].text == "é" * n + "🙂 mail [EMAIL], tel [PHONE] ip [IP]; " * n
+    scores = pii.with_pii(docs.where("doc_id = 257")).first()._pii
+    assert {(s.kind, s.score) for s in scores} == {("email", 1.1), ("phone", 0.8), ("ip", 0.8)}
+
+
+def test_helper_columns_never_clash(spark):
+    extra = "_spans string, _Hits string, _found_hits string, _found_hits_0 string, _pii_spans string, _kept string, _n string"
+    docs = spark.createDataFrame([(1, "mail a@b.cd", *"abcdefg"), (2, "one two", *"abcdefg")], f"doc_id long, text string, {extra}")
+    bench = spark.createDataFrame([("q", "one two")], "item_id string, text string")
+    for out in (decontaminate.remove_contamination(docs, bench), pii.mask_pii(docs), simhash.keep_one_of_each(docs)):
+        assert out.columns == docs.columns
+        assert all(tuple(r)[2:] == tuple("abcdefg") for r in out.collect())
+    assert [r.n_hit for r in decontaminate.contamination(docs, bench).sort("doc_id").collect()] == [0, 2]
+
+
 def test_secrets():
     find = secret_scan.find_secrets
     assert find(None) == [] and find("") == []
