@@ -187,8 +187,10 @@ def shard_hits(texts: list[str | None], found: Phrases) -> tuple[np.ndarray, lis
     for d, s, e in zip(doc.tolist(), edges[::2].tolist(), edges[1::2].tolist(), strict=True):
         spans[d] += [s - int(starts[d]), e - int(starts[d])]
     pairs = np.unique(np.stack([np.searchsorted(starts, at, "right") - 1, window]), axis=1)
-    for d in np.unique(pairs[0]).tolist():
-        items[d] = sorted({i for w in pairs[1, pairs[0] == d].tolist() for i in found.items[w]})
+    # Pairs are in order of documents.
+    heads = np.flatnonzero(np.diff(pairs[0], prepend=-1))
+    for s, e in zip(heads.tolist(), [*heads[1:].tolist(), pairs.shape[1]], strict=True):
+        items[int(pairs[0, s])] = sorted({i for w in pairs[1, s:e].tolist() for i in found.items[w]})
     return counts, spans, items
 
 
