@@ -14,6 +14,7 @@ Every row of the documents gives one row, with repeated rows each on its own.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -188,8 +189,8 @@ def shard_hits(texts: list[str | None], found: Phrases) -> tuple[np.ndarray, lis
         spans[d] += [s - int(starts[d]), e - int(starts[d])]
     pairs = np.unique(np.stack([np.searchsorted(starts, at, "right") - 1, window]), axis=1)
     # Pairs are in order of documents.
-    heads = np.flatnonzero(np.diff(pairs[0], prepend=-1))
-    for s, e in zip(heads.tolist(), [*heads[1:].tolist(), pairs.shape[1]], strict=True):
+    edges = np.append(np.flatnonzero(np.diff(pairs[0], prepend=-1)), pairs.shape[1]).tolist()
+    for s, e in itertools.pairwise(edges):
         items[int(pairs[0, s])] = sorted({i for w in pairs[1, s:e].tolist() for i in found.items[w]})
     return counts, spans, items
 
