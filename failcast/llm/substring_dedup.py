@@ -44,11 +44,16 @@ def extended(rows: pa.Table, window: int) -> pa.RecordBatch:
     h, doc, start, n = (rows.column(k).to_numpy().astype(np.int64) for k in ("h", "doc_id", "start", "n"))
     content = rows.column("content").to_pylist()
     keys = []
+    # Where rows of one id differ in text, what stands at a segment's place may be no such segment.
+    sound = np.ones(len(h), bool)
     for k in range(len(h)):
         words = np.frombuffer(content[k], np.uint64)
         hashes = winnow.gram_hashes(words, GRAM)
         # All windows of a segment have the same anchor, the smallest gram of each.
         anchor = int(winnow.smallest(hashes, window - GRAM + 1)[0])
+        sound[k] = anchor >= n[k] - 1 and hashes[anchor].view(np.int64) == h[k]
+        if not sound[k]:
+            continue
         powers = np.multiply.accumulate(np.full(len(words) + 1, np.uint64(0x9E3779B97F4A7C15)))
         mixed = winnow.mix(words)
         first = np.arange(n[k])
@@ -58,6 +63,7 @@ def extended(rows: pa.Table, window: int) -> pa.RecordBatch:
         back = anchor - first
         key = winnow.mix(left[back]) ^ winnow.mix(right[window - back] + back.astype(np.uint64))
         keys.append(key)
+    h, doc, start, n = h[sound], doc[sound], start[sound], n[sound]
     key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
     of = np.repeat(np.arange(len(h)), n)
     first = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n) + start[of]
@@ -69,7 +75,7 @@ def extended(rows: pa.Table, window: int) -> pa.RecordBatch:
     return winnow.window_runs(doc[of], first, hit)
 
 
-def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, crowd: int = winnow.CROWD) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256``."""
 
     def content(text: str | None):
@@ -87,7 +93,7 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
         return len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest()
 
     known = winnow.with_ids(docs)
-    spans = winnow.seed_spans(known, _prepare, window, GRAM, first_stays=False)
+    spans = winnow.seed_spans(known, _prepare, window, GRAM, first_stays=False, crowd=crowd)
     return winnow.resolve(
         known,
         spans,
@@ -96,4 +102,5 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
         ["h", "doc_id", "start"],
         finish,
         "doc_id long, n_words long, n_removed long, kept_sha256 string",
+        first_stays=False,
     )

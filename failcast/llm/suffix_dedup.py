@@ -6,7 +6,9 @@ in order of document and place. A task reads them in batches. A batch gets a suf
 windows, to the depth of the match length; it is merge-scanned against the suffix arrays of all
 levels, where every string is from an earlier place, so an equal one is a match; and it becomes the
 newest level. Levels of equal size are merged, so there are as many as the logarithm of the number of
-batches, and each string is copied as often.
+batches, and each string is copied as often. A task works through its anchors in ``SLOTS`` parts,
+each with a family of its own, so the strings in memory are those of one part. Anchors with very many
+different segments are settled by counting (see ``winnow``).
 
 Every byte inside a string that also starts earlier (smaller id, or same document, earlier place)
 goes; strings are judged on the input. Null texts are empty. See ``winnow`` for repeated rows.
@@ -20,13 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from failcast.llm import winnow
-from failcast.llm.common import text_bytes
+from failcast.llm.common import run_starts, text_bytes
 
 GRAM = 32
 #: Windows of a batch of the index.
 BATCH = 1 << 16
+#: Parts of a task's anchors, a power of two.
+SLOTS = 16
 _BYTES = winnow.mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -74,15 +79,20 @@ def _prepare(texts: pa.Array) -> tuple[winnow.Elements, np.ndarray]:
 
 
 def matched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Spans of windows that also start earlier, from segments in order of place."""
-    family = IndexFamily(length)
+    """Spans of windows that also start earlier, from segments in order of slot, then place."""
+    family, slot = IndexFamily(length), None
     for batch in batches:
+        slots = batch.column("h").to_numpy() & (SLOTS - 1)
+        changes = np.append(run_starts([slots]), len(slots))
         doc, start, n = (batch.column(k).to_numpy().astype(np.int64) for k in ("doc_id", "start", "n"))
         content = batch.column("content")
         upto = np.cumsum(n)
         at = 0
         while at < len(n):
+            if slots[at] != slot:
+                family, slot = IndexFamily(length), slots[at]
             end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BATCH, "right")))
+            end = min(end, int(changes[np.searchsorted(changes, at, "right")]))
             text, offsets = text_bytes(content.slice(at, end - at).cast(pa.large_binary()).view(pa.large_string()))
             part = n[at:end]
             inside = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
@@ -91,7 +101,7 @@ def matched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             at = end
 
 
-def remove_matches(docs: DataFrame, length: int = 100) -> DataFrame:
+def remove_matches(docs: DataFrame, length: int = 100, crowd: int = winnow.CROWD) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
 
     def content(text: str | None):
@@ -108,13 +118,14 @@ def remove_matches(docs: DataFrame, length: int = 100) -> DataFrame:
         return len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()
 
     known = winnow.with_ids(docs)
-    spans = winnow.seed_spans(known, _prepare, length, GRAM, first_stays=True)
+    spans = winnow.seed_spans(known, _prepare, length, GRAM, first_stays=True, crowd=crowd)
     return winnow.resolve(
         known,
         spans,
         content,
         lambda batches: matched(batches, length),
-        ["doc_id", "start"],
+        [F.col("h").bitwiseAND(SLOTS - 1), "doc_id", "start"],
         finish,
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string",
+        first_stays=True,
     )

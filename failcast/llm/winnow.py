@@ -12,32 +12,41 @@ about ``2 / (window - k + 2)`` of them per element. Only segments travel, as num
 
 Equal segments of one Arrow batch are combined before the shuffle: one of them speaks for all,
 the others are done and are dealt by their own place instead of by the anchor. So a passage that
-a third of all documents share sends one row per batch to its task.
+a third of all documents share sends one row per batch to its task, which streams them.
 
-Documents are told apart by id: rows with the same id are one document (each gets its result),
-null ids are one document. Texts of any length are read in pieces of bounded size.
+An anchor with more than ``crowd`` different segments is crowded: its windows are not compared in
+one task but counted by content, which Spark combines before the shuffle, and joined back.
+
+Documents are told apart by id: rows with the same id are one document (each gets its result; if
+their texts differ, a row may also lose what is repeated at the same place of the other's). Rows
+without an id are told apart by text and come before all others. Texts of any length are read in
+pieces of bounded size.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from failcast.llm.common import run_starts, sorted_runs
+from failcast.llm.common import run_starts
 from failcast.sources.storage import stored
 
 PIECE = 1 << 19
-#: Stands for a null id.
-NO_ID = -(1 << 63)
+#: Keys of rows without an id: from the smallest number on, below all that ids may be.
+NO_ID, LEAST_ID = -(1 << 63), -(1 << 62)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
-#: Results of the seed stage: repeated in whole, or to be compared (and whether repeated in whole, too).
-WHOLE, COMPARE, BOTH = 1, 2, 3
+#: Results of the seed stage, as flags: repeated in whole, to be compared, around a crowded anchor.
+WHOLE, COMPARE, CROWDED = 1, 2, 4
+#: Different segments around one anchor that a task compares.
+CROWD = 4096
 
 Elements = Callable[[int, int], np.ndarray]
 
@@ -143,7 +152,8 @@ def _batch(schema: pa.Schema, *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def with_ids(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    by_text = F.lit(NO_ID) + F.xxhash64("text").bitwiseAND((1 << 62) - 1)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), by_text).alias("doc_id"), "text")
 
 
 def combine(ids: np.ndarray, found: dict[str, np.ndarray], first_stays: bool) -> pa.RecordBatch:
@@ -166,29 +176,54 @@ def combine(ids: np.ndarray, found: dict[str, np.ndarray], first_stays: bool) ->
     return _batch(_SEEDS, np.where(done, spread, h), np.where(done, 0, c), doc, place)
 
 
-def _judge(rows: pa.Table, first_stays: bool) -> pa.RecordBatch:
-    """Spans of whole groups of seeds with the same anchor, sorted by content, id and place."""
-    h, c, doc, place = (rows.column(k).to_numpy() for k in _SEEDS.names)
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] >> 3 != place[:-1] >> 3)
-    h, c, doc, place = (x[new] for x in (h, c, doc, place))
-    done, many = (place & DONE) > 0, (place & MANY) > 0
-    groups, contents = run_starts([h]), run_starts([h, c])
-    head = np.zeros(len(h), bool)
-    head[contents] = True
-    count = np.add.reduceat(1 + many, contents)[np.cumsum(head) - 1]
-    first = np.zeros(len(h), bool)
-    first[groups] = True
-    kinds = np.add.reduceat((head & ~done).astype(np.int64), groups)[np.cumsum(first) - 1]
-    whole = done | (~head if first_stays else count > 1)
-    compare = ~done & head & (kinds > 1)
-    kind = np.where(whole, WHOLE, 0) | np.where(compare, COMPARE, 0)
-    out = kind > 0
-    return _batch(_SPANS, doc[out], (place >> 3 << 3 | kind)[out], np.where(compare, h, 0)[out])
+class _Judge:
+    """Spans from seeds sorted by anchor, content, id and place, batch by batch.
+
+    Of the anchor that a batch ends with, the first seed of each content waits for what follows:
+    at most ``crowd`` seeds, then the anchor is crowded and only the last content's waits.
+    """
+
+    def __init__(self, first_stays: bool, crowd: int) -> None:
+        self.first_stays, self.crowd = first_stays, crowd
+        self.waiting = [np.zeros(0, np.int64)] * len(_SEEDS)
+        #: The anchor that the last batch ended with, if it is crowded.
+        self.crowded = np.zeros(0, np.int64)
+
+    def spans(self, seeds: list[np.ndarray], ended: bool) -> pa.RecordBatch:
+        h, c, doc, place = (np.concatenate(x) for x in zip(self.waiting, seeds, strict=True))
+        if not len(h):
+            return _batch(_SPANS, *(np.zeros(0, np.int64),) * 3)
+        one = run_starts([h, c, doc, place >> 3])
+        flags = np.bitwise_or.reduceat(place & 7, one)
+        h, c, doc, place = h[one], c[one], doc[one], place[one] >> 3 << 3
+        done, many = (flags & DONE) > 0, (flags & MANY) > 0
+        groups, contents = run_starts([h]), run_starts([h, c])
+        head = np.zeros(len(h), bool)
+        head[contents] = True
+        count = np.add.reduceat(1 + many, contents)[np.cumsum(head) - 1]
+        first = np.zeros(len(h), bool)
+        first[groups] = True
+        kinds = np.add.reduceat((head & ~done).astype(np.int64), groups)[np.cumsum(first) - 1]
+        crowded = (kinds > self.crowd) | np.isin(h, self.crowded)
+        whole = done | (~head if self.first_stays else count > 1)
+        compare = ~done & head & ((kinds > 1) | crowded)
+        kind = np.where(whole, WHOLE, 0) | np.where(compare, COMPARE, 0) | np.where(compare & crowded, CROWDED, 0)
+        waits = head & ~done & (h == h[-1]) & (not ended)
+        if crowded[-1]:
+            waits[: contents[-1]] = False
+        self.crowded = h[-1:][crowded[-1:]]
+        self.waiting = [x[waits] for x in (h, c, doc, place | np.where(count > 1, MANY, 0))]
+        out = (kind > 0) & ~waits
+        return _batch(_SPANS, doc[out], (place | kind)[out], np.where(compare, h, 0)[out])
 
 
 def seed_spans(
-    docs: DataFrame, prepare: Callable[[pa.Array], tuple[Elements, np.ndarray]], window: int, gram: int, first_stays: bool
+    docs: DataFrame,
+    prepare: Callable[[pa.Array], tuple[Elements, np.ndarray]],
+    window: int,
+    gram: int,
+    first_stays: bool,
+    crowd: int = CROWD,
 ) -> DataFrame:
     """Spans of windows that repeat in whole, or that must be compared (``kind``), of ``with_ids`` rows.
 
@@ -202,8 +237,10 @@ def seed_spans(
             yield combine(ids, segments(elements, offsets, window, gram), first_stays)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in sorted_runs(batches, ["h"]):
-            yield _judge(rows, first_stays)
+        judged = _Judge(first_stays, crowd)
+        for batch in batches:
+            yield judged.spans([c.to_numpy() for c in batch.columns], ended=False)
+        yield judged.spans([np.zeros(0, np.int64)] * len(_SEEDS), ended=True)
 
     seeds = docs.mapInArrow(scan, SEEDS)
     dealt = seeds.repartition("h").sortWithinPartitions("h", "c", "doc_id", "place")
@@ -215,9 +252,10 @@ def resolve(
     spans: DataFrame,
     content: Callable[[str | None], Callable[[int, int], bytes]],
     extend: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    order: list[str],
+    order: list[str | Column],
     finish: Callable[[str | None, np.ndarray, np.ndarray], tuple],
     schema: str,
+    first_stays: bool,
 ) -> DataFrame:
     """Results of all documents from their spans.
 
@@ -234,8 +272,12 @@ def resolve(
     )
     joined = docs.join(per_doc.hint("merge"), "doc_id", "left")
     result = [c.strip().split(" ", 1) for c in schema.split(",")]
-    # One table of three kinds of rows: results, segments to compare, documents that wait for them.
-    fields = f"{schema}, h long, start long, n int, content binary, text string, spans array<struct<start:long,n:int>>"
+    # One table of four kinds of rows: results, segments to compare, hashes of the windows of
+    # crowded segments, documents that wait for them.
+    fields = (
+        f"{schema}, h long, start long, n int, content binary, windows array<long>, text string,"
+        " spans array<struct<start:long,n:int>>"
+    )
     names = [c[0] for c in result]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +286,7 @@ def resolve(
                 rows: list[dict] = []
                 for row in batch.slice(at, 256).to_pylist():
                     whole = [_start_and_n(p) for p in row["whole"] or []]
-                    todo = [(s["h"], *_start_and_n(s["place"])) for s in row["open"] or []]
+                    todo = [(s["h"], s["place"] & CROWDED, *_start_and_n(s["place"])) for s in row["open"] or []]
                     if not todo:
                         values = finish(row["text"], *_columns(whole))
                         rows.append({"doc_id": row["doc_id"], **dict(zip(names[1:], values, strict=True))})
@@ -259,8 +301,13 @@ def resolve(
                     )
                     rows += [
                         {"doc_id": row["doc_id"], "h": h, "start": s, "n": n, "content": x}
-                        for h, s, n in todo
-                        if (x := cut(s, n))
+                        for h, crowded, s, n in todo
+                        if not crowded and (x := cut(s, n))
+                    ]
+                    rows += [
+                        {"doc_id": row["doc_id"], "h": h, "start": s, "windows": _window_hashes(cut, s, n)}
+                        for h, crowded, s, n in todo
+                        if crowded and cut(s, n)
                     ]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
@@ -284,11 +331,33 @@ def resolve(
     # Segments of repeated rows are one; what is dealt by anchor needs no second shuffle for that.
     compared = compared.repartition("h").dropDuplicates(["h", "doc_id", "start"])
     repeated = compared.sortWithinPartitions(*order).mapInArrow(extend, "doc_id long, start long, n int")
+    repeated = repeated.union(_crowded_repeats(table.where("windows is not null"), first_stays))
     more = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("more"))
     waiting = table.where("spans is not null").select("doc_id", "text", "spans").join(more, "doc_id", "left")
-    done = table.where("content is null and spans is null").select(*names)
+    done = table.where("content is null and windows is null and spans is null").select(*names)
     out = done.union(waiting.mapInArrow(last, schema))
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return out.withColumn("doc_id", F.when(F.col("doc_id") >= LEAST_ID, F.col("doc_id")))
+
+
+def _window_hashes(cut: Callable[[int, int], bytes], start: int, n: int) -> list[int]:
+    hashes = np.array([xxhash.xxh64_intdigest(cut(s, 1)) for s in range(start, start + n)], np.uint64)
+    return hashes.view(np.int64).tolist()
+
+
+def _crowded_repeats(segments_: DataFrame, first_stays: bool) -> DataFrame:
+    """Repeated windows ``doc_id, start, n`` of segments ``h, doc_id, start, windows``.
+
+    A window that very many segments share is one row per task before the shuffle, and one row
+    of the joined table's small side; its occurrences can be split between tasks.
+    """
+    rows = segments_.select("h", "doc_id", "start", F.posexplode("windows").alias("k", "window"))
+    rows = rows.select("h", "window", "doc_id", (F.col("start") + F.col("k")).alias("start"))
+    place = F.struct("doc_id", "start")
+    ends = rows.groupBy("h", "window").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    found = rows.join(ends.where("first != last"), ["h", "window"])
+    if first_stays:
+        found = found.where(place != F.col("first"))
+    return found.select("doc_id", "start", F.lit(1).alias("n"))
 
 
 def _start_and_n(place: int) -> tuple[int, int]:

@@ -55,9 +55,27 @@ def sha(data):
     return hashlib.sha256(data).hexdigest()
 
 
-def test_substring_dedup(spark):
-    rows = corpus()
-    found = collected(substring_dedup.remove_repeats(frame(spark, rows)))
+@pytest.fixture(params=[(10_000, 4096), (5, 4096), (5, 2)], ids=["whole", "small batches", "crowded"])
+def crowd(spark, request):
+    """Segments around an anchor that one task compares, with Arrow batches of some rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    rows, limit = request.param
+    spark.conf.set(key, rows)
+    yield limit
+    spark.conf.set(key, before)
+
+
+def around_one_passage(rows, n):
+    """``rows`` and ``n`` more texts that have a few words in common and differ around them."""
+    common = " ".join(f"common{k}" for k in range(33))
+    rng = random.Random(n)
+    return rows + [(200 + i, f"{rng.randrange(9)} x{rng.randrange(3)} {common} y{rng.randrange(3)} z{i}") for i in range(n)]
+
+
+def test_substring_dedup(spark, crowd):
+    rows = around_one_passage(corpus(), 60)
+    found = collected(substring_dedup.remove_repeats(frame(spark, rows), crowd=crowd))
     split = {i: (t or "").encode().split() for i, t in rows}
     seen = Counter(tuple(w[k : k + 35]) for w in split.values() for k in range(len(w) - 34))
     assert len(found) == len(rows)
@@ -70,9 +88,9 @@ def test_substring_dedup(spark):
         assert (found[i].n_words, found[i].n_removed, found[i].kept_sha256) == (len(w), gone.sum(), sha(kept))
 
 
-def test_suffix_dedup(spark):
-    rows = corpus()
-    found = collected(suffix_dedup.remove_matches(frame(spark, rows)))
+def test_suffix_dedup(spark, crowd):
+    rows = around_one_passage(corpus(), 60)
+    found = collected(suffix_dedup.remove_matches(frame(spark, rows), crowd=crowd))
     seen = set()
     for i, t in sorted(rows):
         data = (t or "").encode()
@@ -111,6 +129,19 @@ def test_repeated_rows_are_one_document(spark):
         assert len(out) == 4 and all(r[name] == 0 for r in out)
 
 
+def test_rows_without_id_and_rows_that_share_one(spark):
+    rng = random.Random(5)
+    passage = " ".join(f"p{rng.randrange(99)}" for _ in range(80))
+    texts = [" ".join(f"{a}{rng.randrange(99)}" for _ in range(60)) + f" {passage} {a}" for a in "abcdef"]
+    for op, gone in ((substring_dedup.remove_repeats, 80), (suffix_dedup.remove_matches, len(passage))):
+        out = op(frame(spark, [(None, t) for t in texts])).collect()
+        first = 0 if op is suffix_dedup.remove_matches else gone
+        removed = sorted(r.n_removed for r in out)
+        assert all(r.doc_id is None for r in out)
+        assert first <= removed[0] <= first + 3 and all(gone <= x <= gone + 3 for x in removed[1:])
+        assert len(op(frame(spark, [(7, t) for t in texts])).collect()) == len(texts)
+
+
 def test_simhash(spark):
     rows = corpus()
     found = collected(simhash.simhash_components(frame(spark, rows)))
