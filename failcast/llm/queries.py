@@ -74,7 +74,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 5) == 0
     model = toxicity.train(docs.where(~held_out), table(spark, sf_dir, "labels"))
-    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.toxicity("text", model, spark).alias("score"))
+    scored = toxicity.with_toxicity(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -1,14 +1,21 @@
 """Toxicity by two Kneser-Ney models, one of toxic and one of ordinary texts.
 
-The models are over character 4-grams of a fixed alphabet of 32 symbols (letters, word
-boundary, digit, four classes of other bytes), so a table has 32^4 cells whatever the corpus,
-and is safe to broadcast. Counts come from all labelled texts, whole. A class has its own
-counts of 4-grams; what they lack in mass goes to continuation counts of shorter n-grams that
-both classes share. So a rare expression that one class never had costs both classes alike.
-
-A text's evidence is the difference of the two log-likelihoods per character. A logistic curve
-on it turns it into a score; the curve is fitted on a bounded hash sample of labelled rows
-(``sample_rows``, balanced between the classes and weighed back).
+The models are over 4-grams of code points, any script, in lower case; every white space and the
+place before a text is a blank. The vocabulary is open: counts are a distributed table with a row
+per 4-gram that a labelled text has, so it grows with the corpus and is never collected or
+broadcast. Counts come from all labelled texts, whole. A class has its own counts of 4-grams; what
+they lack in mass goes to continuation counts of shorter n-grams that both classes share. So a rare
+expression that one class never had costs both classes alike.
+
+A text's evidence is the difference of the two log-likelihoods per character. Where a 4-gram is
+new, the shorter n-grams cancel and what its first three symbols hold back decides; where those are
+new as well, there is no evidence. So the table has a row per context (three symbols) with its
+symbols. Texts are dealt into batches of about ``BATCH_BYTES``; a batch asks once for each of its
+distinct contexts, and the answers come back to it. A context is at most one row per piece of a
+batch, whatever the number of texts that share it.
+
+A logistic curve on the evidence turns it into a score; the curve is fitted on a bounded hash sample
+of labelled rows (``sample_rows``, balanced between the classes and weighed back).
 
 Null and empty texts have no evidence: their score is that of evidence zero. Labels other than 0
 and 1 are not learned; a document with several label rows counts once per row. Without both
@@ -24,24 +31,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from failcast.llm.common import add_by_text, spans_of_bytes, text_bytes
+from failcast.llm.common import add_by_text, fresh_name, run_starts, text_bytes
+from failcast.sources.storage import stored
 
 ORDER = 4
-SYMBOLS = 32
-PIECE = 1 << 19
+#: Code points of Unicode, and bits of one.
+SYMBOLS, BITS = 0x110000, 21
+BLANK = 32
+#: Code points whose 4-grams are combined at once.
+PIECE = 1 << 21
+#: Bytes of texts that are scored together.
+BATCH_BYTES = 1 << 24
+#: Largest model, in contexts, that the column form takes to every worker.
+COLUMN_CONTEXTS = 2_000_000
 
 
 def _alphabet() -> np.ndarray:
-    table = np.zeros(256, np.int32)
-    for b in range(256):
-        low = b + 32 if 65 <= b <= 90 else b
-        if 97 <= low <= 122:
-            table[b] = 1 + low - 97
-        elif 48 <= b <= 57:
-            table[b] = 27
-        elif b >= 128:
-            table[b] = 28 + (b & 3)
+    table = np.arange(SYMBOLS, dtype=np.int32)
+    for c in range(0x20000):
+        low = chr(c).lower()
+        table[c] = BLANK if chr(c).isspace() else ord(low) if len(low) == 1 else c
     return table
 
 
@@ -50,8 +61,8 @@ _SYMBOL = _alphabet()
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    #: Log-likelihood of toxic over ordinary for the last symbol of each 4-gram.
-    evidence: np.ndarray
+    #: ``context, held, found``: evidence of a new symbol after the context, and of those it had.
+    table: DataFrame | None
     slope: float
     level: float
 
@@ -60,91 +71,226 @@ class ToxicityModel:
             return np.zeros(len(evidence))
         return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.level, -500, 500)))
 
+    def score_of(self, evidence: Column) -> Column:
+        if not self.slope:
+            return F.lit(0.0)
+        at = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), evidence * self.slope + self.level))
+        return 1 / (1 + F.exp(-at))
 
-def grams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For pieces of a batch: first byte, the 4-gram that ends at each byte, text offsets.
 
-    The three symbols before a text are word boundaries.
-    """
+def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of a batch in one vector, and the offsets of the texts in it."""
     data, offsets = text_bytes(texts)
-    for at, end in spans_of_bytes(offsets, PIECE):
+    try:
+        whole = data.tobytes().decode()
+        before = np.concatenate([np.zeros(1, np.uint32), np.cumsum((data & 0xC0) != 0x80, dtype=np.uint32)])
+        offsets = before[offsets].astype(np.int64)
+    except UnicodeDecodeError:
+        parts = [data[a:b].tobytes().decode(errors="replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        whole = "".join(parts)
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    return _SYMBOL[np.frombuffer(whole.encode("utf-32-le"), "<u4")], offsets
+
+
+@dataclass(frozen=True)
+class Grams:
+    """4-grams that end at each symbol of a piece, from ``at`` on, numbered by the piece's alphabet."""
+
+    at: int
+    keys: np.ndarray
+    alphabet: np.ndarray
+
+    def cells(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Context and last symbol of 4-grams, as code points."""
+        code = [self.alphabet[(keys >> np.uint64(16 * k)) & np.uint64(0xFFFF)] for k in range(ORDER)]
+        return code[3] << 2 * BITS | code[2] << BITS | code[1], code[0]
+
+
+def grams(codes: np.ndarray, offsets: np.ndarray) -> Iterator[Grams]:
+    """The three symbols before a text are blanks."""
+    at, size = 0, PIECE
+    while at < len(codes):
+        end = min(len(codes), at + size)
         lead = min(at, ORDER - 1)
-        symbols = np.concatenate([np.zeros(ORDER - 1 - lead, np.int32), _SYMBOL[data[at - lead : end]]])
+        here = np.zeros(SYMBOLS, bool)
+        here[codes[at - lead : end]] = True
+        here[BLANK] = True
+        alphabet = np.flatnonzero(here)
+        if len(alphabet) > 1 << 16:
+            size //= 2
+            continue
+        number = (np.cumsum(here) - 1).astype(np.uint64)
+        blank = number[BLANK]
+        part = np.concatenate([np.full(ORDER - 1 - lead, blank), number[codes[at - lead : end]]])
         n = end - at
-        gram = np.zeros(n, np.int32)
-        starts = offsets[:-1][(offsets[:-1] > at - ORDER) & (offsets[:-1] < end)]
+        keys = np.zeros(n, np.uint64)
+        starts = np.unique(offsets[:-1][(offsets[:-1] > at - ORDER) & (offsets[:-1] < end)])
         for k in range(ORDER):
-            part = symbols[k : k + n]
+            symbol = part[k : k + n]
             back = ORDER - 1 - k
             if back and len(starts):
-                part = part.copy()
+                symbol = symbol.copy()
                 for j in range(back):
                     cut = starts + j - at
-                    part[cut[(cut >= 0) & (cut < n)]] = 0
-            gram = gram * SYMBOLS + part
-        yield at, gram, offsets
+                    symbol[cut[(cut >= 0) & (cut < n)]] = blank
+            keys = keys << np.uint64(16) | symbol
+        yield Grams(at, keys, alphabet)
+        at = end
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
-    """``toxic, cell, n`` over all rows of ``labelled`` (``toxic, text``)."""
+    """``context, symbol, n0, n1`` over all rows of ``labelled`` (``toxic, text``)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros((2, SYMBOLS**ORDER), np.int64)
         for batch in batches:
             toxic = batch.column(0).to_numpy(zero_copy_only=False)
             for label in (0, 1):
-                for _, gram, _ in grams(batch.column(1).filter(pa.array(toxic == label))):
-                    cells[label] += np.bincount(gram, minlength=cells.shape[1])
-        for label in (0, 1):
-            full = np.flatnonzero(cells[label])
-            for at in range(0, len(full), 65536):
-                part = full[at : at + 65536]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(part), label, np.int32)),
-                        pa.array(part.astype(np.int32)),
-                        pa.array(cells[label, part]),
-                    ],
-                    names=["toxic", "cell", "n"],
-                )
-
-    counted = labelled.select(F.col("toxic").cast("int"), "text").mapInArrow(count, "toxic int, cell int, n long")
-    return counted.groupBy("toxic", "cell").agg(F.sum("n").alias("n"))
+                for piece in grams(*symbols(batch.column(1).filter(pa.array(toxic == label)))):
+                    keys, n = np.unique(piece.keys, return_counts=True)
+                    context, symbol = piece.cells(keys)
+                    none = np.zeros(len(n), np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(context), pa.array(symbol), *map(pa.array, (none, n) if label else (n, none))],
+                        names=["context", "symbol", "n0", "n1"],
+                    )
+
+    rows = labelled.select(F.col("toxic").cast("int"), "text").mapInArrow(count, "context long, symbol long, n0 long, n1 long")
+    return rows.groupBy("context", "symbol").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _discount(once: int, twice: int) -> float:
+    return once / (once + 2 * twice) if once and twice else 0.75
 
 
 def _smoothed(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     """Kneser-Ney step: discounted shares per context (last axis), the rest to ``shorter``."""
-    once, twice = (counts == 1).sum(), (counts == 2).sum()
-    discount = once / (once + 2 * twice) if once and twice else 0.75
+    discount = _discount((counts == 1).sum(), (counts == 2).sum())
     total = counts.sum(-1, keepdims=True).astype(float)
     kinds = (counts > 0).sum(-1, keepdims=True)
     held = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
     return np.maximum(counts - discount, 0) / np.maximum(total, 1) + held * shorter
 
 
-def gram_evidence(counts: np.ndarray) -> np.ndarray:
-    """Log-likelihood differences of all 4-grams from the counts ``[2, 32^4]``."""
-    cells = counts.reshape(2, *[SYMBOLS] * ORDER)
-    kinds = cells.sum(0)
-    shared = np.full(SYMBOLS, 1 / SYMBOLS)
-    followed = []
-    while kinds.ndim > 1:
-        kinds = (kinds > 0).sum(0)
-        followed.append(kinds)
-    for kinds in reversed(followed):
-        shared = _smoothed(kinds, shared)
-    ordinary, toxic = (_smoothed(c, shared) for c in cells)
-    return (np.log(toxic) - np.log(ordinary)).astype(np.float32).ravel()
-
-
-def text_evidence(texts: pa.Array, evidence: np.ndarray) -> np.ndarray:
+def _discount_of(counts: DataFrame, column: str) -> float:
+    return _discount(*counts.agg(F.count_if(F.col(column) == 1), F.count_if(F.col(column) == 2)).first())
+
+
+def _smoothed_cells(counts: DataFrame, shorter: DataFrame, kept: int) -> DataFrame:
+    """``_smoothed`` on rows ``cell, n`` of two or three symbols; ``shorter`` has ``cell, p``."""
+    discount = _discount_of(counts, "n")
+    context = F.shiftright("cell", BITS)
+    totals = counts.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    rows = counts.select("cell", "n", context.alias("context"), F.col("cell").bitwiseAND(kept).alias("rest"))
+    rows = rows.join(totals, "context").join(shorter.toDF("rest", "shorter"), "rest")
+    return rows.select("cell", ((F.col("n") - discount + discount * F.col("kinds") * F.col("shorter")) / F.col("total")).alias("p"))
+
+
+def gram_evidence(cells: DataFrame) -> DataFrame:
+    """``context, held, found`` from the counts: log-likelihood of toxic over ordinary."""
+    spark = cells.sparkSession
+    two_symbols, one_symbol = (1 << 2 * BITS) - 1, (1 << BITS) - 1
+    rest = F.shiftleft(F.col("context").bitwiseAND(two_symbols), BITS).bitwiseOR(F.col("symbol"))
+    many = F.count("*").alias("n")
+    three = stored(cells.groupBy(rest.alias("cell")).agg(many))
+    two = stored(three.groupBy(F.col("cell").bitwiseAND(two_symbols).alias("cell")).agg(many))
+    # At most a row per code point.
+    one = two.groupBy(F.col("cell").bitwiseAND(one_symbol).alias("cell")).agg(many).toArrow()
+    shared = _smoothed(one.column("n").to_numpy(), np.float64(1 / SYMBOLS))
+    least = spark.createDataFrame(pa.table({"cell": one.column("cell"), "p": shared}))
+    shorter = _smoothed_cells(three, _smoothed_cells(two, F.broadcast(least), one_symbol), two_symbols)
+
+    discounts = [_discount_of(cells, f"n{c}") for c in (0, 1)]
+    totals = cells.groupBy("context").agg(
+        *(F.sum(f"n{c}").alias(f"t{c}") for c in (0, 1)), *(F.count_if(F.col(f"n{c}") > 0).alias(f"k{c}") for c in (0, 1))
+    )
+    held = [F.when(F.col(f"t{c}") > 0, discounts[c] * F.col(f"k{c}") / F.col(f"t{c}")).otherwise(1.0) for c in (0, 1)]
+    totals = totals.select("context", "t0", "t1", *(h.alias(f"h{c}") for c, h in enumerate(held)))
+    rows = cells.withColumn("rest", rest).join(totals, "context").join(shorter.toDF("rest", "shorter"), "rest")
+    p0, p1 = (
+        F.greatest(F.col(f"n{c}") - discounts[c], F.lit(0.0)) / F.greatest(F.col(f"t{c}"), F.lit(1))
+        + F.col(f"h{c}") * F.col("shorter")
+        for c in (0, 1)
+    )
+    known = rows.select("context", "symbol", (F.log("h1") - F.log("h0")).alias("held"), (F.log(p1) - F.log(p0)).alias("e"))
+    # A context has at most a symbol per code point.
+    found = F.map_from_entries(F.collect_list(F.struct(F.col("symbol").cast("int"), F.col("e").cast("float")))).alias("found")
+    return known.groupBy("context").agg(F.first("held").cast("float").alias("held"), found)
+
+
+class Evidence:
+    """Evidence of 4-grams from rows of contexts with their symbols."""
+
+    def __init__(self, context: np.ndarray, held: np.ndarray, sizes: np.ndarray, symbol: np.ndarray, value: np.ndarray) -> None:
+        self.contexts, of = np.unique(context, return_inverse=True)
+        self.held = np.zeros(len(self.contexts))
+        self.held[of] = held
+        cells = np.repeat(of, sizes) << BITS | symbol
+        order = np.argsort(cells)
+        self.known, self.values = cells[order], value[order].astype(np.float64)
+
+    def of(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        if not len(self.contexts):
+            return np.zeros(len(context))
+        at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
+        cells = at << BITS | symbol
+        k = np.minimum(np.searchsorted(self.known, cells), len(self.known) - 1)
+        found = np.where(self.known[k] == cells, self.values[k], self.held[at])
+        return np.where(self.contexts[at] == context, found, 0.0)
+
+
+def text_evidence(texts: pa.Array, evidence: Evidence) -> np.ndarray:
     """Difference of log-likelihoods per character."""
+    codes, offsets = symbols(texts)
     total = np.zeros(len(texts))
-    size = np.zeros(len(texts))
-    for at, gram, offsets in grams(texts):
-        add_by_text(total, evidence[gram].astype(np.float64), at, offsets)
-        size = np.diff(offsets)
-    return total / np.maximum(size, 1)
+    for piece in grams(codes, offsets):
+        keys = np.unique(piece.keys)
+        values = evidence.of(*piece.cells(keys))
+        add_by_text(total, values[np.searchsorted(keys, piece.keys)], piece.at, offsets)
+    return total / np.maximum(np.diff(offsets), 1)
+
+
+def _joined(column: pa.ChunkedArray) -> pa.Array:
+    whole = column.combine_chunks()
+    return pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
+
+
+def with_evidence(docs: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    """All rows and columns of ``docs``, and each text's evidence as ``name``."""
+    batch = fresh_name(docs, "_batch")
+    # A row counts as 64 bytes at least, so a batch has bounded rows as well.
+    size = docs.agg(F.sum(F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(64)))).first()[0] or 0
+    batches = -(-size // BATCH_BYTES) or 1
+    number = F.pmod(F.xxhash64(F.lit("batch"), "doc_id", "text"), F.lit(batches))
+    # Both uses share one shuffle of the texts: its columns are the same.
+    dealt = docs.withColumn(batch, number).repartition(F.col(batch))
+
+    def ask(rows: pa.Table) -> pa.Table:
+        out = [_ASKED.empty_table()]
+        for piece in grams(*symbols(_joined(rows.column("text")))):
+            keys = np.unique(piece.keys)
+            context, symbol = piece.cells(keys)
+            heads = run_starts([context])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(keys)), pa.int32()), pa.array(symbol, pa.int32()))
+            number = np.full(len(heads), rows.column(batch)[0].as_py())
+            out.append(pa.Table.from_arrays([pa.array(number), pa.array(context[heads]), lists], schema=_ASKED))
+        return pa.concat_tables(out)
+
+    def answer(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        symbol, value = (_joined(answers.column(k)) for k in ("symbols", "found"))
+        context = answers.column("context").to_numpy()
+        sizes = symbol.value_lengths().to_numpy(zero_copy_only=False)
+        evidence = Evidence(context, np.zeros(len(context)), sizes, symbol.flatten().to_numpy(), value.flatten().to_numpy())
+        total = text_evidence(_joined(rows.column("text")), evidence)
+        return rows.drop_columns([batch]).append_column(name, pa.array(total))
+
+    asked = dealt.groupBy(batch).applyInArrow(ask, "asker long, context long, symbols array<int>")
+    found = F.transform("symbols", lambda s: F.coalesce(F.try_element_at("found", s), "held"))
+    answers = asked.join(table, "context").select("asker", "context", "symbols", found.alias("found"))
+    fields = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    return dealt.groupBy(batch).cogroup(answers.groupBy("asker")).applyInArrow(answer, fields)
+
+
+_ASKED = pa.schema([("asker", pa.int64()), ("context", pa.int64()), ("symbols", pa.list_(pa.int32()))])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -164,34 +310,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> ToxicityModel:
     """Model from the texts of ``docs`` that ``labels`` (``doc_id, toxic``) marks."""
-    spark = docs.sparkSession
     known = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    # Labels grow with the corpus: the join is a merge at every size, the one shuffle of texts.
+    # Labels grow with the corpus: the join is a merge at every size.
     labelled = docs.select("doc_id", "text").join(known.hint("merge"), "doc_id")
-    counts = np.zeros((2, SYMBOLS**ORDER), np.int64)
-    # At most two rows per cell of a fixed table.
-    cells = gram_counts(labelled).toArrow()
-    counts[cells.column("toxic").to_numpy(), cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    if not counts[0].any() or not counts[1].any():
-        return ToxicityModel(np.zeros(SYMBOLS**ORDER, np.float32), 0.0, 0.0)
-    evidence = gram_evidence(counts)
-    shared = spark.sparkContext.broadcast(evidence)
-    return ToxicityModel(evidence, *_calibrate(docs, known, shared, sample_rows))
+    cells = stored(gram_counts(labelled))
+    if not all(cells.agg(F.sum("n0"), F.sum("n1")).first()):
+        return ToxicityModel(None, 0.0, 0.0)
+    table = stored(gram_evidence(cells))
+    return ToxicityModel(table, *_calibrate(docs, known, table, sample_rows))
 
 
-def _calibrate(docs: DataFrame, known: DataFrame, shared, sample_rows: int) -> tuple[float, float]:
+def _calibrate(docs: DataFrame, known: DataFrame, table: DataFrame, sample_rows: int) -> tuple[float, float]:
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     place = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(1 << 32)) / float(1 << 32)
     part = {c: min(1.0, sample_rows / 2 / max(1, sizes.get(c, 0))) for c in (0, 1)}
     chosen = known.where(place < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0])).limit(2 * sample_rows)
-
-    @F.arrow_udf("double")
-    def evidence_of(texts: pa.Array) -> pa.Array:
-        return pa.array(text_evidence(texts, shared.value))
-
-    # The sample's bound makes it safe to broadcast; texts stay where they are.
-    sampled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = sampled.select("toxic", evidence_of("text").alias("x")).toArrow()
+    # The sample's bound makes it safe to broadcast; only its texts are written and scored.
+    sampled = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    rows = with_evidence(sampled, table, "x").select("toxic", "x").toArrow()
     x, y = rows.column("x").to_numpy(), rows.column("toxic").to_numpy()
     if len(np.unique(y)) < 2:
         return 0.0, 0.0
@@ -200,18 +336,40 @@ def _calibrate(docs: DataFrame, known: DataFrame, shared, sample_rows: int) -> t
     return _logistic(x, y, np.where(y == 1, 1 / part[1], 1 / part[0]))
 
 
+def with_toxicity(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
+    """All rows and columns of ``docs``, and the score of each text, 0 to 1."""
+    if model.table is None:
+        return docs.withColumn(name, F.lit(0.0))
+    found = with_evidence(docs, model.table, name)
+    return found.withColumn(name, model.score_of(F.col(name)))
+
+
 def toxicity(text: str | Column, model: ToxicityModel, spark) -> Column:
-    """Score of a text column, 0 to 1."""
-    shared = spark.sparkContext.broadcast(model)
+    """Score of a text column, 0 to 1, for models small enough to go to every worker.
+
+    ``with_toxicity`` gives the same scores and has no such limit.
+    """
+    if model.table is None:
+        return F.lit(0.0)
+    if model.table.count() > COLUMN_CONTEXTS:
+        raise ValueError("the model is too large for a column, use with_toxicity")
+    rows = model.table.select("context", "held", F.map_keys("found").alias("s"), F.map_values("found").alias("e")).toArrow()
+    symbol, value = (_joined(rows.column(k)) for k in ("s", "e"))
+    sizes = symbol.value_lengths().to_numpy(zero_copy_only=False)
+    evidence = Evidence(
+        rows.column("context").to_numpy(), rows.column("held").to_numpy(), sizes, symbol.flatten().to_numpy(), value.flatten().to_numpy()
+    )
+    shared = spark.sparkContext.broadcast(evidence)
+    curve = ToxicityModel(None, model.slope, model.level)
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        found = shared.value
-        return pa.array(found.score(text_evidence(texts, found.evidence)))
+        return pa.array(curve.score(text_evidence(texts, shared.value)))
 
     return score(text)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
     """Documents whose score is below ``threshold``; all columns stay."""
-    return docs.where(toxicity(docs["text"], model, docs.sparkSession) < threshold)
+    name = fresh_name(docs, "_score")
+    return with_toxicity(docs, model, name).where(F.col(name) < threshold).drop(name)

@@ -429,6 +429,39 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and {1, 900, 901} <= {r.doc_id for r in kept.collect()}
 
 
+def test_toxicity_in_any_script(spark):
+    """Scores do not depend on the script; the joined and the column form agree."""
+    rng = random.Random(9)
+    plain, bad = ["ander", "onthe", "ingre", "tion", "hast", "erly"], ["zorkface", "quibblehead", "vexwit"]
+    latin = [" ".join(rng.choice(bad) if k % 4 == 0 and rng.random() < 0.1 else rng.choice(plain) for _ in range(60)) for k in range(400)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
+    scores = []
+    for first in (ord("a"), ord("\u0430"), ord("\u4e00")):
+        rows = list(enumerate(t.translate({97 + k: first + k for k in range(26)}) for t in latin))
+        docs = frame(spark, rows + [(900, None), (901, ""), (902, "\U0001f600"), (None, rows[0][1]), (None, rows[0][1])])
+        model = toxicity.train(docs.where("doc_id % 5 != 0"), labels)
+        out = toxicity.with_toxicity(docs, model)
+        assert out.columns == [*docs.columns, "score"] and out.count() == 405
+        found = {r.doc_id: r.score for r in out.collect()}
+        column = docs.select("doc_id", toxicity.toxicity("text", model, spark).alias("score"))
+        assert all(abs(found[r.doc_id] - r.score) < 1e-9 for r in column.collect())
+        assert np.mean([(found[k] >= 0.5) == (k % 4 == 0) for k in range(0, 400, 5)]) > 0.95
+        assert found[None] == pytest.approx(found[0]) and found[900] == found[901]
+        scores.append([found[k] for k in range(400)])
+    assert np.allclose(scores[0], scores[1]) and np.allclose(scores[0], scores[2])
+
+
+def test_gram_counts_are_exact(spark):
+    texts = [(0, "Абв гд"), (1, "абв"), (0, "漢字\n\U0001f600x"), (1, None), (0, "")]
+    found = toxicity.gram_counts(spark.createDataFrame(texts, "toxic int, text string").coalesce(1)).collect()
+    seen = Counter()
+    for label, t in texts:
+        padded = "   " + (t or "").lower().replace("\n", " ")
+        seen.update((label, padded[k : k + 4]) for k in range(len(padded) - 3))
+    read = lambda r: "".join(chr(r.context >> s & 0x1FFFFF) for s in (42, 21, 0)) + chr(r.symbol)
+    assert {(c, read(r)): r[f"n{c}"] for r in found for c in (0, 1) if r[f"n{c}"]} == dict(seen)
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(0)
     counts = rng.poisson(0.3, (32, 32, 32, 32))
