@@ -2,9 +2,9 @@
 
 Candidate strings (unbroken runs of key-like characters) are scanned with a window whose
 character counts, and the sum of ``n log n`` over them, change by one character in and one
-out per step. A window is suspicious when its entropy reaches the limit of its character
-class; overlapping suspicious windows are one span. An allow-list suppresses placeholders,
-identifiers in words, and uniform unique ids. Null texts count as empty; every row in gives
+out per step. A window is suspicious when its entropy reaches the limit of the class of the
+characters in it; overlapping suspicious windows are one span. An allow-list suppresses the windows
+that overlap placeholders, identifiers in words, and uniform unique ids. Null texts count as empty; every row in gives
 one row out, repeated ids included. Extra columns of the input are not looked at.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +33,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ALLOWED = re.compile(
     r"(?i)example|sample|placeholder|dummy|xxxx|changeme|your[_-]?(key|token|secret)"
-    r"|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+    r"|(?<![a-z0-9])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![a-z0-9])"
 )
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -47,15 +48,22 @@ class EntropyRules:
     mixed_bits: float = 3.7
 
 
-def _limit(run: str, rules: EntropyRules) -> float | None:
-    """Limit for the run's character class; None for runs that are words or numbers."""
-    digits = any(c.isdigit() for c in run)
-    lower, upper = any(c.islower() for c in run), any(c.isupper() for c in run)
-    if not digits or not (lower or upper):
+#: Kinds of characters: digits, hex and other letters of either case, the rest.
+DIGIT, HEX_LOWER, LOWER, HEX_UPPER, UPPER, OTHER = range(6)
+_KIND = dict.fromkeys("+/_=-", OTHER)
+_KIND |= dict.fromkeys(string.digits, DIGIT)
+_KIND |= {c: HEX_LOWER if c < "g" else LOWER for c in string.ascii_lowercase}
+_KIND |= {c: HEX_UPPER if c < "G" else UPPER for c in string.ascii_uppercase}
+
+
+def _limit(kinds: list[int], rules: EntropyRules) -> float | None:
+    """Limit for the class of a window, from the counts of its kinds; None for words and numbers."""
+    lower, upper = kinds[HEX_LOWER] + kinds[LOWER], kinds[HEX_UPPER] + kinds[UPPER]
+    if not kinds[DIGIT] or not (lower or upper):
         return None
-    if all(c in "0123456789abcdef" for c in run) or all(c in "0123456789ABCDEF" for c in run):
-        return rules.hex_bits
-    return rules.mixed_bits if lower and upper else rules.lower_bits
+    if lower and upper:
+        return rules.mixed_bits
+    return rules.lower_bits if kinds[LOWER] or kinds[UPPER] or kinds[OTHER] else rules.hex_bits
 
 
 def entropy_spans(text: str, rules: EntropyRules = EntropyRules()) -> list[tuple[int, int]]:
@@ -65,12 +73,11 @@ def entropy_spans(text: str, rules: EntropyRules = EntropyRules()) -> list[tuple
     log = [0.0] + [n * math.log2(n) for n in range(1, width + 1)]
     for match in CANDIDATE.finditer(text):
         run = match[0]
-        limit = _limit(run, rules)
-        if limit is None or len(run) < width or ALLOWED.search(run):
+        if len(run) < width:
             continue
-        # Entropy of a window is log2(width) - sum(n log2 n) / width.
-        most = (math.log2(width) - limit) * width + 1e-9
+        allowed = [m.span() for m in ALLOWED.finditer(run)]
         counts: dict[str, int] = {}
+        kinds = [0] * 6
         total = 0.0
         for i, c in enumerate(run):
             if i >= width:
@@ -78,15 +85,27 @@ def entropy_spans(text: str, rules: EntropyRules = EntropyRules()) -> list[tuple
                 n = counts[old]
                 counts[old] = n - 1
                 total += log[n - 1] - log[n]
+                kinds[_KIND[old]] -= 1
             n = counts.get(c, 0)
             counts[c] = n + 1
             total += log[n + 1] - log[n]
-            if i >= width - 1 and total <= most:
-                start, end = match.start() + i - width + 1, match.start() + i + 1
-                if found and found[-1][1] >= start:
-                    found[-1] = (found[-1][0], end)
-                else:
-                    found.append((start, end))
+            kinds[_KIND[c]] += 1
+            if i < width - 1:
+                continue
+            limit = _limit(kinds, rules)
+            # Entropy of a window is log2(width) - sum(n log2 n) / width.
+            if limit is None or total > (math.log2(width) - limit) * width + 1e-9:
+                continue
+            first = i - width + 1
+            while allowed and allowed[0][1] <= first:
+                allowed.pop(0)
+            if allowed and allowed[0][0] <= i:
+                continue
+            start, end = match.start() + first, match.start() + i + 1
+            if found and found[-1][1] >= start:
+                found[-1] = (found[-1][0], end)
+            else:
+                found.append((start, end))
     return found
 
 

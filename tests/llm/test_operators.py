@@ -372,6 +372,9 @@ def test_helper_columns_never_clash(spark):
     assert [r.n_hit for r in decontaminate.contamination(docs, bench).sort("doc_id").collect()] == [0, 2]
 
 
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def test_secrets():
     find = secret_scan.find_secrets
     assert find(None) == [] and find("") == []
@@ -394,6 +397,33 @@ def test_secrets():
     assert hot.tolist() == [any(s <= k < e for s, e in spans) for k in range(len(run))]
 
 
+def random_keys(alphabet, length, n=300):
+    rng = random.Random(f"{alphabet}{length}")
+    return ["".join(rng.choices(alphabet, k=length)) for _ in range(n)]
+
+
+def share_found(keys, before=""):
+    """Share of keys that have an entropy span which reaches into the key."""
+    return np.mean([any(e > len(before) + 2 for _, e in secret_scan.entropy_spans(f"x {before}{k} y")) for k in keys])
+
+
+def test_secrets_are_judged_window_by_window():
+    lower, upper = "0123456789abcdef", "0123456789ABCDEF"
+    base62 = [k for k in random_keys(DIGITS + LOWER + UPPER, 24) if re.search("[0-9]", k)]
+    for keys, before in (
+        (random_keys(upper, 40), "KEY="),
+        (random_keys(lower, 20), "v1-"),
+        (random_keys(lower, 23), "v1-"),
+        (base62, "/samples/"),
+        (base62, "your_token-"),
+        (base62, "dummy="),
+    ):
+        assert share_found(keys, before) > 0.9, before
+    unique = "3f2b8c1e-9a4d-4e6f-8b7a-0c1d2e3f4a5b"
+    assert secret_scan.entropy_spans(f"{unique} id={unique} request-{unique}") == []
+    assert secret_scan.entropy_spans("your_token_goes9Here4You") == []
+
+
 def test_language_id(spark):
     rng = random.Random(8)
     syllables = {"p": ["the", "and", "ing", "tion"], "q": ["schen", "und", "lich", "ä"], "r": ["ción", "que", "los", "ñ"]}
