@@ -3,7 +3,8 @@
 Candidate strings (unbroken runs of key-like characters) are scanned with a window whose
 character counts, and the sum of ``n log n`` over them, change by one character in and one
 out per step. A window is suspicious when its entropy reaches the limit of the class of the
-characters in it; overlapping suspicious windows are one span. An allow-list suppresses the windows
+characters in it and its letters do not stand like those of words; overlapping suspicious windows
+are one span. An allow-list suppresses the windows
 that overlap placeholders, identifiers in words, and uniform unique ids. Null texts count as empty; every row in gives
 one row out, repeated ids included. Extra columns of the input are not looked at.
 """
@@ -11,10 +12,11 @@ one row out, repeated ids included. Extra columns of the input are not looked at
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -35,17 +37,34 @@ ALLOWED = re.compile(
     r"(?i)example|sample|placeholder|dummy|xxxx|changeme|your[_-]?(key|token|secret)"
     r"|(?<![a-z0-9])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![a-z0-9])"
 )
+#: Frequent pairs of letters in words of English, German, French, Italian and Spanish.
+PAIRS = frozenset(
+    "ab ac ad ag ai al am an ap ar as at au av ay ba be bi bl bo br bu by ca ce ch ci ck co cr ct cu da de di do dr du"
+    " ea ec ed ee ef eg ei el em en ep er es et eu ev ew ex ey fa fe ff fi fo fr ft fu ga ge gh gi gl go gr gu ha he hi"
+    " ho hr ht ia ib ic id ie if ig il im in io ir is it iv iz ke ki la ld le li ll lo ls lt lu ly ma mb me mi mm mo mp"
+    " mu na nc nd ne ng ni nk nn no ns nt nu ob oc od of og ol om on oo op or os ot ou ov ow pa pe ph pi pl po pp pr pt"
+    " pu qu ra rc rd re rg ri rk rl rm rn ro rr rs rt ru ry sa sc se sh si sk so sp ss st su ta te th ti to tr ts tt tu"
+    " ty tz ub uc ud ue ui ul um un up ur us ut va ve vi vo wa we wh wi wo ze zu".split()
+)
+#: Share of them among random pairs.
+_CHANCE = len(PAIRS) / 26**2
 KINDS = ("assign", "access", "hex", "entropy")
 
 
 @dataclass(frozen=True)
 class EntropyRules:
-    """Window length, and bits per character from which a class is suspicious."""
+    """Window length, and bits per character from which a class is suspicious.
+
+    About the 1 % quantile of random windows of the class: base 16, base 32 and 36, base 62 and 64;
+    without digits, letters of one case or of both.
+    """
 
     window: int = 20
-    hex_bits: float = 3.0
-    lower_bits: float = 4.1
-    mixed_bits: float = 3.7
+    hex_bits: float = 2.9
+    lower_bits: float = 3.34
+    mixed_bits: float = 3.64
+    letter_bits: float = 3.22
+    mixed_letter_bits: float = 3.58
 
 
 #: Kinds of characters: digits, hex and other letters of either case, the rest.
@@ -57,15 +76,33 @@ _KIND |= {c: HEX_UPPER if c < "G" else UPPER for c in string.ascii_uppercase}
 
 
 def _limit(kinds: list[int], rules: EntropyRules) -> float | None:
-    """Limit for the class of a window, from the counts of its kinds; None for words and numbers."""
+    """Limit for the class of a window, from the counts of its kinds; None without letters."""
     lower, upper = kinds[HEX_LOWER] + kinds[LOWER], kinds[HEX_UPPER] + kinds[UPPER]
-    if not kinds[DIGIT] or not (lower or upper):
+    if not (lower or upper):
         return None
+    if not kinds[DIGIT]:
+        return rules.mixed_letter_bits if lower and upper else rules.letter_bits
     if lower and upper:
         return rules.mixed_bits
     return rules.lower_bits if kinds[LOWER] or kinds[UPPER] or kinds[OTHER] else rules.hex_bits
 
 
+def _wordlike(run: str) -> Callable[[int, int], bool]:
+    """Whether ``run[start:end]`` has more frequent pairs than random letters, by 2.6 deviations."""
+    low = run.lower()
+    letters, frequent = [0], [0]
+    for a, b in itertools.pairwise(low):
+        letters.append(letters[-1] + (a.isalpha() and b.isalpha()))
+        frequent.append(frequent[-1] + (a + b in PAIRS))
+
+    def judge(start: int, end: int) -> bool:
+        n = letters[end - 1] - letters[start]
+        c = frequent[end - 1] - frequent[start]
+        return n > 3 and c >= _CHANCE * n + 2.6 * math.sqrt(_CHANCE * (1 - _CHANCE) * n)
+
+    return judge
+
+
 def entropy_spans(text: str, rules: EntropyRules = EntropyRules()) -> list[tuple[int, int]]:
     """Spans whose windows reach the entropy limit, longest runs first in text order."""
     found: list[tuple[int, int]] = []
@@ -76,6 +113,7 @@ def entropy_spans(text: str, rules: EntropyRules = EntropyRules()) -> list[tuple
         if len(run) < width:
             continue
         allowed = [m.span() for m in ALLOWED.finditer(run)]
+        wordlike = None
         counts: dict[str, int] = {}
         kinds = [0] * 6
         total = 0.0
@@ -101,6 +139,10 @@ def entropy_spans(text: str, rules: EntropyRules = EntropyRules()) -> list[tuple
                 allowed.pop(0)
             if allowed and allowed[0][0] <= i:
                 continue
+            if limit != rules.hex_bits:
+                wordlike = wordlike or _wordlike(run)
+                if wordlike(first, i + 1):
+                    continue
             start, end = match.start() + first, match.start() + i + 1
             if found and found[-1][1] >= start:
                 found[-1] = (found[-1][0], end)
@@ -119,8 +161,7 @@ def find_secrets(text: str | None, rules: EntropyRules = EntropyRules()) -> list
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= ASSIGN_VALUE]
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
-    if any(d in text for d in "0123456789"):
-        spans += [(s, 3, e) for s, e in entropy_spans(text, rules)]
+    spans += [(s, 3, e) for s, e in entropy_spans(text, rules)]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return [(KINDS[k], s, e) for s, k, e in sorted(spans)]
 

@@ -407,6 +407,25 @@ def share_found(keys, before=""):
     return np.mean([any(e > len(before) + 2 for _, e in secret_scan.entropy_spans(f"x {before}{k} y")) for k in keys])
 
 
+@pytest.mark.parametrize("length", [20, 24, 32, 40])
+@pytest.mark.parametrize(
+    "alphabet",
+    [DIGITS + LOWER[:6], DIGITS + UPPER[:6], DIGITS + LOWER, UPPER + "234567", DIGITS + LOWER + UPPER, LOWER, UPPER, LOWER + UPPER],
+)
+def test_random_keys_of_each_class_are_found(alphabet, length):
+    assert share_found(random_keys(alphabet, length, 500)) > 0.95
+
+
+def test_words_are_no_secrets():
+    for text in (
+        "getUserAccountInformationFromDatabase /usr/local/lib/python3/site-packages/requests/",
+        "Donaudampfschifffahrtsgesellschaft anticonstitutionnellement 2023-the-quick-summer-holiday",
+        "internationalization_of_the_system ==================== 12345678901234567890123",
+        "keitstlichschenverpf Einungtzheitgeungverlich queelleaiierelletion",
+    ):
+        assert secret_scan.entropy_spans(text) == [], text
+
+
 def test_secrets_are_judged_window_by_window():
     lower, upper = "0123456789abcdef", "0123456789ABCDEF"
     base62 = [k for k in random_keys(DIGITS + LOWER + UPPER, 24) if re.search("[0-9]", k)]
