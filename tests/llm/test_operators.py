@@ -28,6 +28,7 @@ from failcast.llm import (
 from failcast.llm.common import components, spanning_links
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SCHEMA = "doc_id long, text string, lang string, n_words long, spans string"
 
 
@@ -281,6 +282,16 @@ def test_packing_is_exact(spark):
         assert end <= 256
 
 
+def test_capitals_with_marks_keep_their_ids():
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    marks = [chr(c) for c in range(0x300, 0x380)] + ["\u05b0\u0331", "\u0323\u0307", "\u20d0\u0331"]
+    texts = [f"a{b}{m}x, {b}{m}. B" for b in UPPER + LOWER + "ÅÉΩ\u212a" for m in marks]
+    texts += ["H\u0331 J\u030c T\u0308 W\u030a Y\u030a " + "Plain WORDS", "I\u0307 \u0130", "\u0331 H"]
+    found = packing.WordEncoder(VOCABULARY).encode(texts)
+    for t, ids in zip(texts, found, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 def least_bins(sizes, capacity):
     """Lower bound: pieces over half a bin need one each, and leave only so much room for others."""
     best = 0
@@ -372,9 +383,6 @@ def test_helper_columns_never_clash(spark):
     assert [r.n_hit for r in decontaminate.contamination(docs, bench).sort("doc_id").collect()] == [0, 2]
 
 
-DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
 def test_secrets():
     find = secret_scan.find_secrets
     assert find(None) == [] and find("") == []
