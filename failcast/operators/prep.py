@@ -1,8 +1,8 @@
 """Preparation fitted on train rows: impute, scale, encode, reduce.
 
 ``PanelEncoder.fit`` gathers a few numbers per column and returns a pipeline of
-JVM stages, so a fitted preparation runs inside generated code and is saved with
-Spark's own writer. Only the SVD projection needs an Arrow batch function.
+JVM stages, so a fitted preparation runs inside generated code; projections and the
+dictionary of very many categories are stages of their own and are saved with it.
 """
 
 from __future__ import annotations
@@ -10,33 +10,27 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.ml import Estimator, PipelineModel, Transformer
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import (
-    PCA,
-    FeatureHasher,
     OneHotEncoder,
     SQLTransformer,
-    StandardScaler,
     StringIndexer,
     VectorAssembler,
-    VectorSlicer,
 )
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from failcast.functions.order import exact_quantiles
+from failcast.operators.components import Projection, principal_components
+from failcast.operators.dictionary import CategoryEncoder, fit_dictionary
 from failcast.schema import CATEGORICAL
 
 VARIANTS = ("baseline", "pca_num", "svd_cat", "both")
-# Categories beyond this number are hashed to a fixed width instead of indexed.
+# Categories up to this number are listed in the model, more are looked up in a stored dictionary.
 INDEX_LIMIT = 10_000
-HASH_WIDTH = 1 << 14
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
@@ -84,53 +78,10 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def components_for(shares: Sequence[float], target: float) -> int:
-    """Fewest components whose cumulative share of variance exceeds ``target``."""
-    total = np.cumsum(np.asarray(shares, dtype=float))
-    return int(min(len(total), np.searchsorted(total, target, side="right") + 1))
-
-
 def fit_pca(df: DataFrame, column: str, out: str, variance: float) -> PipelineModel:
-    """Centred principal components that keep the wanted share of variance."""
-    center = StandardScaler(inputCol=column, outputCol=f"{out}__c", withMean=True, withStd=False).fit(df)
-    width = len(center.mean)
-    full = PCA(k=width, inputCol=f"{out}__c", outputCol=f"{out}__p").fit(center.transform(df))
-    k = components_for(full.explainedVariance.toArray(), variance)
-    cut = VectorSlicer(inputCol=f"{out}__p", outputCol=out, indices=list(range(k)))
-    drop = SQLTransformer(statement=f"SELECT * EXCEPT ({out}__c, {out}__p) FROM __THIS__")
-    return PipelineModel([center, full, cut, drop])
-
-
-class Projection(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """Multiply a vector column by a fixed matrix, in Arrow batches."""
-
-    inputCol = Param(Params._dummy(), "inputCol", "vector column", TypeConverters.toString)
-    outputCol = Param(Params._dummy(), "outputCol", "projected column", TypeConverters.toString)
-    width = Param(Params._dummy(), "width", "number of components", TypeConverters.toInt)
-    weights = Param(Params._dummy(), "weights", "matrix by rows", TypeConverters.toListFloat)
-
-    def __init__(self, inputCol=None, outputCol=None, matrix=None):
-        super().__init__()
-        if matrix is not None:
-            self._set(
-                inputCol=inputCol,
-                outputCol=outputCol,
-                width=matrix.shape[1],
-                weights=[float(x) for x in matrix.ravel()],
-            )
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        width = self.getOrDefault(self.width)
-        matrix = np.asarray(self.getOrDefault(self.weights)).reshape(-1, width)
-
-        @F.pandas_udf("array<double>")
-        def project(values: pd.Series) -> pd.Series:
-            if values.empty:
-                return pd.Series([], dtype=object)
-            return pd.Series(list(np.stack(values.to_numpy()) @ matrix))
-
-        source = vector_to_array(F.col(self.getOrDefault(self.inputCol)))
-        return df.withColumn(self.getOrDefault(self.outputCol), array_to_vector(project(source)))
+    """Centred principal components that keep the wanted share of variance; ``df`` is a stored table."""
+    directions, mean, _ = principal_components(df, column, variance)
+    return PipelineModel([Projection(column, out, directions, mean @ directions)])
 
 
 def fit_svd(df: DataFrame, column: str, out: str, components: int) -> Projection:
@@ -205,24 +156,25 @@ class PanelEncoder(Estimator):
             stages.append(stage)
             data = stage.transform(data)
 
-        indexed = [c for c, n in sizes.items() if n <= self.index_limit]
-        hashed = [c for c in sizes if c not in indexed]
-        if indexed:
+        listed = [c for c, n in sizes.items() if n <= self.index_limit]
+        if listed:
             indexer = StringIndexer(
-                inputCols=[f"{c}__f" for c in indexed],
-                outputCols=[f"{c}__i" for c in indexed],
+                inputCols=[f"{c}__f" for c in listed],
+                outputCols=[f"{c}__i" for c in listed],
                 handleInvalid="keep",
                 stringOrderType="alphabetAsc",
             )
             add(indexer.fit(data))
             encoder = OneHotEncoder(
-                inputCols=[f"{c}__i" for c in indexed], outputCols=[f"{c}__o" for c in indexed], dropLast=True
+                inputCols=[f"{c}__i" for c in listed], outputCols=[f"{c}__o" for c in listed], dropLast=True
             )
             add(encoder.fit(data))
-            spare += [f"{c}__{k}" for c in indexed for k in "io"]
-        for c in hashed:
-            add(FeatureHasher(inputCols=[f"{c}__f"], outputCol=f"{c}__o", numFeatures=HASH_WIDTH))
-            spare.append(f"{c}__o")
+            spare += [f"{c}__{k}" for c in listed for k in "io"]
+        for c in sizes:
+            if c not in listed:
+                counts = data.groupBy(F.col(f"{c}__f").alias("value")).agg(F.count("*").alias("n"))
+                add(CategoryEncoder(f"{c}__f", f"{c}__o", fit_dictionary(counts.where("value is not null"))))
+                spare.append(f"{c}__o")
         parts = []
         if sizes:
             add(VectorAssembler(inputCols=[f"{c}__o" for c in sizes], outputCol="cat__v"))

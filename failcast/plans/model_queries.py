@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from failcast.functions.columns import within
 from failcast.operators import baselines, curves, features, importance, labels, models, splits, tuning
+from failcast.operators.neighbours import nearest_neighbours
 from failcast.operators.prep import PanelEncoder, make_preprocessor
 from failcast.operators.resample import smote as oversample
 from failcast.plans import experiments as x
@@ -108,6 +109,25 @@ def smote(spark, d):
     return more.groupBy("EQUIPMENT_FAILURE", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def minority_neighbours(spark, d):
+    """Distances from each failure row to its five nearest other failure rows."""
+    x = F.array("S5", F.col("S8") * 100, F.col("S13") * 100, F.col("S16") / 1000, F.col("S17") / 1000, "S18")
+    failed = stored(daily_panel(spark, d)).filter("EQUIPMENT_FAILURE = 1")
+    near = nearest_neighbours(failed.select("ID", "DATE", x.alias("x")), 5)
+    ranked = near.select("ID", day_text(), F.posexplode("near").alias("place", "n"))
+    return ranked.select("ID", "DATE", (F.col("place") + 1).alias("place"), F.round("n.distance", 6).alias("distance"))
+
+
+@query
+def one_hot_dictionary(spark, d):
+    """Rows per position of one-hot vectors by a stored dictionary, machines as categories."""
+    rows = stored(x.horizon_table(daily_panel(spark, d)).select("ID", "MANUFACTURER", "split"))
+    model = PanelEncoder(["ID", "MANUFACTURER"], (), index_limit=0).fit(_train(rows))
+    places = model.transform(rows).select("split", F.explode(F.unwrap_udt("features")["indices"]).alias("position"))
+    return places.groupBy("position", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def logreg(spark, d):
     return _scores(spark, d, "logreg", LOGREG)

@@ -592,6 +592,26 @@ sc as (
         """select y as EQUIPMENT_FAILURE, 0 as synthetic, cast(n as bigint) as n from k
            union all select y, 1, cast((select max(n) from k) - n as bigint) from k where n < (select max(n) from k)""",
     )
+    gap = " + ".join(
+        f"pow(a.{c} * {f} - b.{c} * {f}, 2)"
+        for c, f in (("S5", 1), ("S8", 100), ("S13", 100), ("S16", 0.001), ("S17", 0.001), ("S18", 1))
+    )
+    sql["minority_neighbours"] = _with(
+        _PANEL
+        + f""", f as (select * from log where EQUIPMENT_FAILURE = 1),
+        p as (select a.ID, a.DATE, sqrt({gap}) as distance from f a join f b on a.ID <> b.ID or a.DATE <> b.DATE),
+        r as (select *, row_number() over (partition by ID, DATE order by distance) as place from p)""",
+        f"select ID, {_D}, cast(place as integer) as place, round(distance, 6) as distance from r where place <= 5",
+    )
+    sql["one_hot_dictionary"] = _with(
+        _SPLIT
+        + """, cells as (select 'ID' as col, cast(ID as varchar) as value, split from sp
+            union all select 'MANUFACTURER', MANUFACTURER, split from sp),
+        dict as (select col, value, row_number() over (order by col, value) - 1 as position
+          from (select distinct col, value from cells where split = 'train'))""",
+        """select cast(position as integer) as position, split, count(*) as n
+           from cells join dict using (col, value) group by position, split""",
+    )
     sql["prediction_preview"] = _with(
         _WIDE, f"select ID, {_D}, RUL_DAYS, RUL_PRED from wide where split = 'test' order by ID, wide.DATE limit 10"
     )
