@@ -3,7 +3,7 @@ split buckets and connected components."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +102,35 @@ def run_starts(columns: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def id_filter(ids: DataFrame, column: str, bits_per_id: int = 16, most_bits: int = 1 << 28) -> Callable[[str], Column]:
+    """A test that holds for every value of ``column`` in ``ids``, and for few others: a Bloom filter.
+
+    To thin out rows before a join that decides. It has one hash and ``bits_per_id`` bits for each id, at most
+    ``most_bits`` in all; with more ids than these allow it lets more rows pass. A null id does not pass.
+    """
+    size = 1 << max(15, min(most_bits.bit_length() - 1, (bits_per_id * max(1, ids.count())).bit_length()))
+
+    def place(name: str) -> Column:
+        return F.when(F.col(name).isNotNull(), F.pmod(F.xxhash64(F.lit("filter"), name), F.lit(size)))
+
+    at = (place(column) + 1).alias("at")
+    parts = ids.where(F.col(column).isNotNull()).select(at)
+    parts = parts.groupBy(F.bitmap_bucket_number("at").alias("part"))
+    found = parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toArrow()
+    bits = np.zeros(size // 8, np.uint8)
+    for part, data in zip(found.column("part").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        bits[(part - 1) * len(data) : part * len(data)] = np.frombuffer(data, np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def passes(places: pa.Array) -> pa.Array:
+        known = places.is_valid().to_numpy(zero_copy_only=False)
+        at = places.fill_null(0).to_numpy()
+        return pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & known)
+
+    return lambda name: passes(place(name))
+
+
 def split_buckets(rows: DataFrame, key: str, member: str, block: int = BLOCK) -> DataFrame:
     """Rows of buckets with two members or more, dealt into tasks of bounded size.
 

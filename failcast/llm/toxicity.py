@@ -15,7 +15,8 @@ distinct contexts, and the answers come back to it. A context is at most one row
 batch, whatever the number of texts that share it.
 
 A logistic curve on the evidence turns it into a score; the curve is fitted on a bounded hash sample
-of labelled rows (``sample_rows``, balanced between the classes and weighed back).
+of labelled rows (``sample_rows``, balanced between the classes and weighed back) that are not counted,
+a fifth of a class at most; where that leaves fewer than ``CURVE_ROWS`` of a class, on counted rows.
 
 Null and empty texts have no evidence: their score is that of evidence zero. Labels other than 0
 and 1 are not learned; a document with several label rows counts once per row. Without both
@@ -33,17 +34,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from failcast.llm.common import add_by_text, fresh_name, run_starts, text_bytes
+from failcast.llm.common import add_by_text, fresh_name, id_filter, run_starts, text_bytes
 from failcast.sources.storage import stored
 
 ORDER = 4
 #: Code points of Unicode, and bits of one.
 SYMBOLS, BITS = 0x110000, 21
 BLANK = 32
-#: Code points whose 4-grams are combined at once.
-PIECE = 1 << 21
+#: Bytes of texts whose 4-grams are looked at together.
+PIECE = 1 << 20
 #: Bytes of texts that are scored together.
 BATCH_BYTES = 1 << 24
+#: Part of the labelled rows kept for the curve at most, and rows of each class that it needs.
+CURVE_SHARE, CURVE_ROWS = 0.2, 20
 #: Largest model, in contexts, that the column form takes to every worker.
 COLUMN_CONTEXTS = 2_000_000
 
@@ -78,27 +81,28 @@ class ToxicityModel:
         return 1 / (1 + F.exp(-at))
 
 
-def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of a batch in one vector, and the offsets of the texts in it."""
-    data, offsets = text_bytes(texts)
+def _valid(texts: pa.Array) -> pa.Array:
+    """Texts in valid UTF-8; bytes that are none become replacement characters."""
+    texts = texts.cast(pa.large_string())
     try:
-        whole = data.tobytes().decode()
-        before = np.concatenate([np.zeros(1, np.uint32), np.cumsum((data & 0xC0) != 0x80, dtype=np.uint32)])
-        offsets = before[offsets].astype(np.int64)
-    except UnicodeDecodeError:
-        parts = [data[a:b].tobytes().decode(errors="replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        whole = "".join(parts)
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    return _SYMBOL[np.frombuffer(whole.encode("utf-32-le"), "<u4")], offsets
+        texts.validate(full=True)
+    except pa.ArrowInvalid:
+        raw = texts.cast(pa.large_binary()).to_pylist()
+        return pa.array([t and t.decode(errors="replace") for t in raw], pa.large_string())
+    return texts
 
 
 @dataclass(frozen=True)
 class Grams:
-    """4-grams that end at each symbol of a piece, from ``at`` on, numbered by the piece's alphabet."""
+    """4-grams that end at each symbol of a piece, from ``at`` on, numbered by the piece's alphabet.
+
+    ``places``: symbols before each text, for the texts met so far, and a large number for others.
+    """
 
     at: int
     keys: np.ndarray
     alphabet: np.ndarray
+    places: np.ndarray
 
     def cells(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Context and last symbol of 4-grams, as code points."""
@@ -106,36 +110,53 @@ class Grams:
         return code[3] << 2 * BITS | code[2] << BITS | code[1], code[0]
 
 
-def grams(codes: np.ndarray, offsets: np.ndarray) -> Iterator[Grams]:
-    """The three symbols before a text are blanks."""
-    at, size = 0, PIECE
-    while at < len(codes):
-        end = min(len(codes), at + size)
-        lead = min(at, ORDER - 1)
+def grams(texts: pa.Array) -> Iterator[Grams]:
+    """4-grams of a batch of texts, piece by piece; the three symbols before a text are blanks."""
+    data, starts = text_bytes(_valid(texts))
+    places = np.where(starts == 0, 0, np.iinfo(np.int64).max)
+    # First byte and number of symbols before the piece.
+    at = done = 0
+    size = PIECE
+    while at < len(data):
+        end = at + size
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end += 1
+        end = min(end, len(data))
+        first, lead = at, 0
+        while first and lead < ORDER - 1:
+            first -= 1
+            lead += data[first] & 0xC0 != 0x80
+        while first and data[first] & 0xC0 == 0x80:
+            first -= 1
+        codes = _SYMBOL[np.frombuffer(data[first:end].tobytes().decode().encode("utf-32-le"), "<u4")]
         here = np.zeros(SYMBOLS, bool)
-        here[codes[at - lead : end]] = True
+        here[codes] = True
         here[BLANK] = True
         alphabet = np.flatnonzero(here)
         if len(alphabet) > 1 << 16:
             size //= 2
             continue
+        n = len(codes) - lead
+        before = np.concatenate([[0], np.cumsum(data[at:end] & 0xC0 != 0x80)])
+        met = slice(np.searchsorted(starts, at), np.searchsorted(starts, end, "right"))
+        places[met] = done + before[starts[met] - at]
         number = (np.cumsum(here) - 1).astype(np.uint64)
         blank = number[BLANK]
-        part = np.concatenate([np.full(ORDER - 1 - lead, blank), number[codes[at - lead : end]]])
-        n = end - at
+        part = np.concatenate([np.full(ORDER - 1 - lead, blank), number[codes]])
         keys = np.zeros(n, np.uint64)
-        starts = np.unique(offsets[:-1][(offsets[:-1] > at - ORDER) & (offsets[:-1] < end)])
+        near = slice(np.searchsorted(places[:-1], done - ORDER, "right"), np.searchsorted(places[:-1], done + n))
+        cuts = np.unique(places[:-1][near]) - done
         for k in range(ORDER):
             symbol = part[k : k + n]
             back = ORDER - 1 - k
-            if back and len(starts):
+            if back and len(cuts):
                 symbol = symbol.copy()
                 for j in range(back):
-                    cut = starts + j - at
+                    cut = cuts + j
                     symbol[cut[(cut >= 0) & (cut < n)]] = blank
             keys = keys << np.uint64(16) | symbol
-        yield Grams(at, keys, alphabet)
-        at = end
+        yield Grams(done, keys, alphabet, places)
+        at, done = end, done + n
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
@@ -145,7 +166,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
         for batch in batches:
             toxic = batch.column(0).to_numpy(zero_copy_only=False)
             for label in (0, 1):
-                for piece in grams(*symbols(batch.column(1).filter(pa.array(toxic == label)))):
+                for piece in grams(batch.column(1).filter(pa.array(toxic == label))):
                     keys, n = np.unique(piece.keys, return_counts=True)
                     context, symbol = piece.cells(keys)
                     none = np.zeros(len(n), np.int64)
@@ -240,13 +261,21 @@ class Evidence:
 
 def text_evidence(texts: pa.Array, evidence: Evidence) -> np.ndarray:
     """Difference of log-likelihoods per character."""
-    codes, offsets = symbols(texts)
-    total = np.zeros(len(texts))
-    for piece in grams(codes, offsets):
+    total, places = np.zeros(len(texts)), np.zeros(len(texts) + 1, np.int64)
+    for piece in grams(texts):
         keys = np.unique(piece.keys)
-        values = evidence.of(*piece.cells(keys))
-        add_by_text(total, values[np.searchsorted(keys, piece.keys)], piece.at, offsets)
-    return total / np.maximum(np.diff(offsets), 1)
+        values, places = evidence.of(*piece.cells(keys)), piece.places
+        add_by_text(total, values[np.searchsorted(keys, piece.keys)], piece.at, places)
+    return total / np.maximum(np.diff(places), 1)
+
+
+def _distinct(cells: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs of context and symbol, in order."""
+    context, symbol = (np.concatenate(c) for c in zip(*cells, strict=True))
+    order = np.lexsort((symbol, context))
+    context, symbol = context[order], symbol[order]
+    heads = run_starts([context, symbol])
+    return context[heads], symbol[heads]
 
 
 def _joined(column: pa.ChunkedArray) -> pa.Array:
@@ -265,15 +294,18 @@ def with_evidence(docs: DataFrame, table: DataFrame, name: str) -> DataFrame:
     dealt = docs.withColumn(batch, number).repartition(F.col(batch))
 
     def ask(rows: pa.Table) -> pa.Table:
-        out = [_ASKED.empty_table()]
-        for piece in grams(*symbols(_joined(rows.column("text")))):
-            keys = np.unique(piece.keys)
-            context, symbol = piece.cells(keys)
-            heads = run_starts([context])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(keys)), pa.int32()), pa.array(symbol, pa.int32()))
-            number = np.full(len(heads), rows.column(batch)[0].as_py())
-            out.append(pa.Table.from_arrays([pa.array(number), pa.array(context[heads]), lists], schema=_ASKED))
-        return pa.concat_tables(out)
+        cells: list[tuple[np.ndarray, np.ndarray]] = []
+        for piece in grams(_joined(rows.column("text"))):
+            cells.append(piece.cells(np.unique(piece.keys)))
+            if len(cells) == 4:
+                cells = [_distinct(cells)]
+        if not cells:
+            return _ASKED.empty_table()
+        context, symbol = _distinct(cells)
+        heads = run_starts([context])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(context)), pa.int32()), pa.array(symbol, pa.int32()))
+        asker = np.full(len(heads), rows.column(batch)[0].as_py())
+        return pa.Table.from_arrays([pa.array(asker), pa.array(context[heads]), lists], schema=_ASKED)
 
     def answer(rows: pa.Table, answers: pa.Table) -> pa.Table:
         symbol, value = (_joined(answers.column(k)) for k in ("symbols", "found"))
@@ -309,31 +341,43 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> ToxicityModel:
-    """Model from the texts of ``docs`` that ``labels`` (``doc_id, toxic``) marks."""
+    """Model from the texts of ``docs`` that ``labels`` (``doc_id, toxic``) marks; other labels have no influence."""
     known = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    # Labels grow with the corpus: the join is a merge at every size.
-    labelled = docs.select("doc_id", "text").join(known.hint("merge"), "doc_id")
-    cells = stored(gram_counts(labelled))
-    if not all(cells.agg(F.sum("n0"), F.sum("n1")).first()):
+    # Only texts that may have a label are moved. Labels grow with the corpus: the join is a merge at every size.
+    texts = docs.select("doc_id", "text").where(id_filter(known, "doc_id")("doc_id"))
+    learnable = docs.select("doc_id").join(known.hint("merge"), "doc_id").groupBy("toxic").agg(F.count("*").alias("n"))
+    sizes = {r["toxic"]: r["n"] for r in learnable.collect()}
+    if len(sizes) < 2:
         return ToxicityModel(None, 0.0, 0.0)
-    table = stored(gram_evidence(cells))
-    return ToxicityModel(table, *_calibrate(docs, known, table, sample_rows))
-
-
-def _calibrate(docs: DataFrame, known: DataFrame, table: DataFrame, sample_rows: int) -> tuple[float, float]:
-    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = [min(CURVE_SHARE, sample_rows / 2 / sizes[c]) for c in (0, 1)]
     place = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(1 << 32)) / float(1 << 32)
-    part = {c: min(1.0, sample_rows / 2 / max(1, sizes.get(c, 0))) for c in (0, 1)}
-    chosen = known.where(place < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0])).limit(2 * sample_rows)
-    # The sample's bound makes it safe to broadcast; only its texts are written and scored.
-    sampled = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
-    rows = with_evidence(sampled, table, "x").select("toxic", "x").toArrow()
+    in_curve = place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
+    counted = texts.join(known.where(~in_curve).hint("merge"), "doc_id")
+    cells = stored(gram_counts(counted))
+    if not all(cells.agg(F.sum("n0"), F.sum("n1")).first()):
+        in_curve = F.lit(False)
+        cells = stored(gram_counts(texts.join(known.hint("merge"), "doc_id")))
+        if not all(cells.agg(F.sum("n0"), F.sum("n1")).first()):
+            return ToxicityModel(None, 0.0, 0.0)
+    table = stored(gram_evidence(cells))
+    curve = _curve(texts.where(place < max(share)).join(known.where(in_curve).hint("merge"), "doc_id"), table, share)
+    if curve is None:
+        # Too few rows to keep some for the curve: it sees rows that were counted as well.
+        share = [min(1.0, sample_rows / 2 / sizes[c]) for c in (0, 1)]
+        some = known.where(place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
+        curve = _curve(texts.join(some.hint("merge"), "doc_id"), table, share) or (0.0, 0.0)
+    return ToxicityModel(table, *curve)
+
+
+def _curve(labelled: DataFrame, table: DataFrame, share: list[float]) -> tuple[float, float] | None:
+    """Slope and level fitted on labelled rows; None without ``CURVE_ROWS`` of each class."""
+    rows = with_evidence(stored(labelled), table, "x").select("toxic", "x").toArrow()
     x, y = rows.column("x").to_numpy(), rows.column("toxic").to_numpy()
-    if len(np.unique(y)) < 2:
-        return 0.0, 0.0
+    if min((y == 0).sum(), (y == 1).sum()) < (CURVE_ROWS if max(share) <= CURVE_SHARE else 1):
+        return None
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
-    return _logistic(x, y, np.where(y == 1, 1 / part[1], 1 / part[0]))
+    return _logistic(x, y, np.where(y == 1, 1 / share[1], 1 / share[0]))
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
