@@ -49,6 +49,31 @@ def sweep(
     )
 
 
+def thinned(points: DataFrame, by: Sequence[str], epsilon: float) -> DataFrame:
+    """Rows of a sweep that are enough to draw its curves within about ``epsilon``.
+
+    Along a sweep the hits, the true and the false positives only grow. Points that agree in these, in steps of
+    ``epsilon`` (shares of the rates, and logarithms, since precision is a ratio), are one stretch, of which the
+    first and the last stay: within a stretch recall and false positive rate change by less than ``epsilon``,
+    precision by less than a factor of exp(2 epsilon). There are at most some (2 + ln rows + ln positives) / epsilon
+    stretches, whatever the number of scores. Points are found per stretch, not in one order over all.
+    """
+    negatives = F.col("total") - F.col("positives")
+    misses = F.col("hits") - F.col("tp")
+    steps = {
+        "_hits": F.log("hits"),
+        "_tp": F.log(F.greatest(F.col("tp").cast("double"), F.lit(0.5))),
+        "_recall": F.when(F.col("positives") > 0, F.col("tp") / F.col("positives")).otherwise(0.0),
+        "_fpr": F.when(negatives > 0, misses / negatives).otherwise(0.0),
+    }
+    placed = points.withColumns({name: F.floor(value / epsilon) for name, value in steps.items()})
+    kept = [c for c in points.columns if c not in by]
+    whole = F.struct(*kept)
+    ends = placed.groupBy(*by, *steps).agg(F.min_by(whole, "hits").alias("a"), F.max_by(whole, "hits").alias("b"))
+    both = F.when(F.col("a.hits") == F.col("b.hits"), F.array("a")).otherwise(F.array("a", "b"))
+    return ends.select(*by, F.inline(both))
+
+
 def _precision() -> Column:
     return F.col("tp") / F.col("hits")
 
@@ -58,9 +83,10 @@ def _recall() -> Column:
     return F.when(F.col("positives") == 0, F.lit(1.0)).otherwise(F.col("tp") / F.col("positives"))
 
 
-def pr_curve(scored: DataFrame, by: Sequence[str] = (), **names) -> DataFrame:
-    """Precision and recall per threshold, and the closing point (1, 0) without one."""
+def pr_curve(scored: DataFrame, by: Sequence[str] = (), epsilon: float = 0.0, **names) -> DataFrame:
+    """Precision and recall per threshold, and the closing point (1, 0) without one; ``epsilon`` as in ``thinned``."""
     points = sweep(scored, by, **names)
+    points = thinned(points, by, epsilon) if epsilon else points
     point = F.struct(
         F.col("score").alias("threshold"), _precision().alias("precision"), _recall().alias("recall")
     )
@@ -72,9 +98,10 @@ def pr_curve(scored: DataFrame, by: Sequence[str] = (), **names) -> DataFrame:
     return points.select(*by, F.explode(both).alias("p")).select(*by, "p.*")
 
 
-def roc_curve(scored: DataFrame, by: Sequence[str] = (), **names) -> DataFrame:
-    """False and true positive rate per threshold, and the opening point (0, 0)."""
+def roc_curve(scored: DataFrame, by: Sequence[str] = (), epsilon: float = 0.0, **names) -> DataFrame:
+    """False and true positive rate per threshold, and the opening point (0, 0); ``epsilon`` as in ``thinned``."""
     points = sweep(scored, by, **names)
+    points = thinned(points, by, epsilon) if epsilon else points
     negatives = F.col("total") - F.col("positives")
     fpr = F.when(negatives > 0, (F.col("hits") - F.col("tp")) / negatives)
     tpr = F.when(F.col("positives") > 0, F.col("tp") / F.col("positives"))

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Model
+from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
+from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +24,14 @@ from pyspark.sql import functions as F
 
 from failcast.functions.columns import clip
 from failcast.operators import curves
+from failcast.operators.bagging import bag_sizes, bag_weights, joined_forest
 from failcast.operators.features import sequence_windows
+from failcast.operators.kernel import FourierFeatures, scaled_gamma
+from failcast.operators.sequences import KernelFeatures
 from failcast.operators.splits import stratified_split
 from failcast.operators.weights import balanced_weights, positive_weight, weight_column
 from failcast.schema import KEYS, SEED
+from failcast.sources.storage import stored
 
 # Spark's trees stop at this depth; "no limit" means this.
 MAX_DEPTH = 30
@@ -48,7 +55,7 @@ PRESETS = {
         "subsample": 0.9,
         "colsample_bytree": 0.9,
     },
-    "svm": {"max_iter": 100},
+    "svm": {"max_iter": 100, "kernel": "rbf"},
 }
 CALIBRATED_CANDIDATES = ("logreg", "rf", "hgb", "xgb", "lgbm")
 RUL_REGRESSOR = {
@@ -59,6 +66,8 @@ RUL_REGRESSOR = {
     "colsample_bytree": 0.9,
 }
 # End of fixed values.
+# Cosines that stand for the radial kernel.
+KERNEL_FEATURES = 256
 MODEL_NAMES = (*PRESETS, "calibrated_best")
 
 
@@ -139,16 +148,63 @@ def class_weights_for(train: DataFrame, label: str, params: Mapping) -> dict[int
 
 
 def fit(train: DataFrame, kind: str, params: Mapping | None = None, label: str = "label", **options) -> Model:
-    """Fit a model by name with the class weights its settings ask for."""
+    """Fit a model by name with the class weights its settings ask for.
+
+    A forest with ``balanced_subsample`` weighs the rows of each tree's bag on its own. The margin classifier
+    has the radial kernel, by random Fourier features, unless ``kernel`` is ``linear``.
+    """
     p = {**PRESETS.get(kind, {}), **(params or {})}
+    if kind == "rf" and p.get("class_weight") == "balanced_subsample":
+        return fit_bagged_forest(train, p, label, **options)
     weights = class_weights_for(train, label, p)
     rows = train.count() if kind in ("logreg", "logreg_multinomial", "svm") else None
     data = train.select(label, "features")
     if weights:
         data = data.withColumn("weight", weight_column(label, weights))
-    return make_estimator(
-        kind, params, rows=rows, label=label, weight="weight" if weights else None, **options
+    column = "features"
+    before: list[Transformer] = []
+    if kind == "svm" and p["kernel"] == "rbf":
+        column = "fourier"
+        gamma = p.get("gamma") or scaled_gamma(data, "features")
+        width = len(data.select("features").first()[0])
+        size = int(p.get("components", KERNEL_FEATURES))
+        before = [FourierFeatures("features", column, width, size, gamma, options.get("seed", SEED))]
+        data = before[0].transform(data).drop("features")
+    model = make_estimator(
+        kind, params, rows=rows, features=column, label=label, weight="weight" if weights else None, **options
     ).fit(data)
+    return _with_own_features(before[0], model) if before else model
+
+
+def _with_own_features(features: Transformer, model: Model) -> PipelineModel:
+    """A model on features of its own, which it makes and drops."""
+    name = features.getOrDefault("outputCol")
+    return PipelineModel([features, model, SQLTransformer(statement=f"SELECT * EXCEPT ({name}) FROM __THIS__")])
+
+
+def fit_bagged_forest(
+    train: DataFrame, params: Mapping, label: str = "label", keys: Sequence[str] = KEYS, seed: int = SEED, parallelism: int = 4
+) -> RandomForestClassificationModel:
+    """Forest of trees on bags of their own, classes balanced within each bag.
+
+    Bags are drawn by ``keys``; without these columns rows are told apart by their label and features.
+    """
+    if not set(keys) <= set(train.columns):
+        train = train.withColumn("_row", F.xxhash64(label, vector_to_array("features")))
+        keys = ["_row"]
+    rows = stored(train.select(*keys, label, "features"))
+    settings = {**_forest(params), "numTrees": 1, "bootstrap": False, "weightCol": "weight"}
+    trees = int(params.get("n_estimators", 100))
+    sizes = bag_sizes(rows, label, trees, keys, seed)
+    # A bag may lack a class that others have.
+    classes = {"ml_attr": {"type": "nominal", "num_vals": int(max(c for _, c in sizes)) + 1}}
+
+    def one(tree: int) -> Model:
+        bag = bag_weights(rows, label, tree, sizes, keys=keys, seed=seed).withMetadata(label, classes)
+        estimator = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed + tree, **settings)
+        return estimator.fit(bag.select(label, "features", "weight"))
+
+    return joined_forest(fit_all([lambda t=t: one(t) for t in range(trees)], parallelism))
 
 
 def fit_all(jobs: Sequence[Callable[[], Model]], parallelism: int = 4) -> list[Model]:
@@ -156,7 +212,8 @@ def fit_all(jobs: Sequence[Callable[[], Model]], parallelism: int = 4) -> list[M
     if parallelism <= 1 or len(jobs) <= 1:
         return [job() for job in jobs]
     with ThreadPool(min(parallelism, len(jobs))) as pool:
-        spark = SparkSession.getActiveSession()
+        # A thread that fits has no active session of its own.
+        spark = SparkSession.builder.getOrCreate()
         return pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs)
 
 
@@ -193,21 +250,54 @@ def platt_targets(scored: DataFrame, label: str) -> tuple[float, float]:
     return (row["p"] + 1.0) / (row["p"] + 2.0), 1.0 / (row["n"] + 2.0)
 
 
-def fit_sigmoid(scored: DataFrame, label: str = "label", margin: str = "margin") -> tuple[float, float]:
+def fit_sigmoid(
+    scored: DataFrame, label: str = "label", margin: str = "margin", weight: Column | None = None
+) -> tuple[float, float]:
     """Slope and offset of the sigmoid that maps margins to probabilities.
 
-    A soft target t is the pair of rows (1, weight t) and (0, weight 1 - t).
+    A soft target t is the pair of rows (1, weight t) and (0, weight 1 - t); ``weight`` multiplies both.
     """
     high, low = platt_targets(scored, label)
     t = F.when(F.col(label) == 1, F.lit(high)).otherwise(F.lit(low))
+    each = F.lit(1.0) if weight is None else weight
     pair = F.array(
-        F.struct(F.lit(1.0).alias("y"), t.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - t).alias("w"))
+        F.struct(F.lit(1.0).alias("y"), (each * t).alias("w")), F.struct(F.lit(0.0).alias("y"), (each * (1 - t)).alias("w"))
     )
     rows = scored.select(array_to_vector(F.array(F.col(margin).cast("double"))).alias("x"), F.inline(pair))
     fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=200).fit(rows)
     return float(fitted.coefficients[0]), float(fitted.intercept)
 
 
+def cross_fitted_sigmoid(
+    train: DataFrame,
+    fit_part: Callable[[DataFrame], Model],
+    label: str = "label",
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    balanced: bool = False,
+    folds: int = 3,
+    keys: Sequence[str] = KEYS,
+    seed: int = SEED,
+    parallelism: int = 3,
+) -> tuple[float, float]:
+    """Sigmoid of margins that no model gave to rows it was fitted on.
+
+    ``fit_part`` gets the rows outside a fold, so whatever it makes of them (new rows, too) has not seen the fold; the
+    fold's rows, changed by ``prepare``, are scored. ``balanced`` weighs both classes alike, for a
+    model fitted on as many rows of each.
+    """
+    names = [str(i) for i in range(folds)]
+    data = stored(stratified_split(train, label, [1 / folds] * folds, names, keys, seed, out="fold"))
+
+    def one(name: str) -> DataFrame:
+        model = fit_part(data.filter(F.col("fold") != name).drop("fold"))
+        held = data.filter(F.col("fold") == name).drop("fold")
+        return add_score(prepare(held) if prepare else held, model, "margin", "margin").select(label, "margin")
+
+    scored = stored(functools.reduce(DataFrame.union, fit_all([lambda n=n: one(n) for n in names], parallelism)))
+    weight = weight_column(label, balanced_weights(scored, label)) if balanced else None
+    return fit_sigmoid(scored, label, weight=weight)
+
+
 def sigmoid(margin: Column, slope: float, offset: float) -> Column:
     return 1.0 / (1.0 + F.exp(-(margin * slope + offset)))
 
@@ -311,16 +401,40 @@ def balance_by_copies(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
 
 
-def fit_sequence_model(
-    train: DataFrame, params: Mapping, label: str = "label", seed: int = SEED
-) -> Model:
+def fit_dense_sequence(train: DataFrame, params: Mapping, label: str = "label", seed: int = SEED) -> Model:
     """Dense network on flattened sequences; ``dense_units`` and ``epochs`` are used."""
     width = len(train.select("features").first()[0])
     return MultilayerPerceptronClassifier(
         layers=[width, int(params.get("dense_units", 16)), 2],
         maxIter=int(params.get("epochs", 120)),
-        stepSize=float(params.get("learning_rate", 0.03)),
         seed=seed,
         featuresCol="features",
         labelCol=label,
     ).fit(balance_by_copies(train.select(label, "features"), label))
+
+
+def sequence_settings(params: Mapping) -> dict[str, float]:
+    """What of a sequence configuration has an effect here: kernels, penalty and passes."""
+    return {
+        "kernels": int(params.get("lstm_units", 128)) * int(params.get("lstm_layers", 2)) // 2,
+        "penalty": float(params.get("l2_reg", 0.0003)),
+        "passes": int(params.get("epochs", 120)),
+    }
+
+
+def fit_sequence_model(
+    train: DataFrame, params: Mapping, label: str = "label", length: int = 10, seed: int = SEED
+) -> PipelineModel:
+    """Logistic regression on responses to random kernels that slide over the steps of a sequence.
+
+    ``train``: sequences of ``length`` steps, flattened. Only ``sequence_settings`` of ``params`` has an effect.
+    """
+    p = sequence_settings(params)
+    width = len(train.select("features").first()[0]) // length
+    features = KernelFeatures("features", "responses", length, width, p["kernels"], seed)
+    weights = balanced_weights(train, label)
+    data = features.transform(train.select(label, "features")).withColumn("weight", weight_column(label, weights))
+    model = LogisticRegression(
+        featuresCol="responses", labelCol=label, weightCol="weight", regParam=p["penalty"], maxIter=p["passes"]
+    ).fit(data.drop("features"))
+    return _with_own_features(features, model)

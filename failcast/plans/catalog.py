@@ -326,6 +326,13 @@ def pr_curve(spark, d):
     return curves.pr_curve(_long(spark, d), _BY).select(*_BY, "threshold", *rounded("precision", "recall"))
 
 
+@query
+def pr_curve_thinned(spark, d):
+    """The points that draw the curves within 0.02."""
+    points = curves.pr_curve(_long(spark, d), _BY, epsilon=0.02)
+    return points.select(*_BY, "threshold", *rounded("precision", "recall"))
+
+
 @query
 def roc_curve(spark, d):
     return curves.roc_curve(_long(spark, d), _BY).select(*_BY, "threshold", *rounded("fpr", "tpr"))

@@ -6,7 +6,8 @@ train rows once, and scores all tasks and models in one pass over val and test.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timezone
 
 from pyspark.ml import Model, PipelineModel
@@ -25,9 +26,10 @@ from failcast.operators.models import (
     fit_all,
     fit_calibrated_best,
     fit_rul,
+    cross_fitted_sigmoid,
     fit_sequence_model,
-    fit_sigmoid,
     sequence_rows,
+    sequence_settings,
     sigmoid,
 )
 from failcast.operators.prep import VARIANTS, PanelEncoder, fit_pca, make_preprocessor
@@ -520,14 +522,23 @@ def _evaluate_configs(
     betas: Mapping[str, float],
     beta: float,
     parallelism: int,
+    effective: Callable[[Mapping], Mapping] = dict,
 ) -> tuple[DataFrame, dict[tuple[str, int], Model]]:
-    """One row per task and configuration; every fitted model by (task, config_id)."""
+    """One row per task and configuration; every fitted model by (task, config_id).
+
+    Configurations that are equal in what ``effective`` keeps of them share one fit and one score.
+    """
     jobs = [(n, d, i + 1, p) for n, d in tasks for i, p in enumerate(configs)]
-    models = fit_all([lambda j=j: fit_one(_train(_task(rows, j[1])), j) for j in jobs], parallelism)
-    wide = add_scores(_held_out(rows), {f"s{x}": m for x, m in enumerate(models)})
-    wide = stored(wide.select("split", "RUL_DAYS", *[f"s{x}" for x in range(len(jobs))]))
+    kinds = [(n, json.dumps(effective(p), sort_keys=True, default=str)) for n, _, _, p in jobs]
+    first = {kind: x for x, kind in reversed(list(enumerate(kinds)))}
+    fitted_once = sorted(first.values())
+    found = fit_all([lambda j=jobs[x]: fit_one(_train(_task(rows, j[1])), j) for x in fitted_once], parallelism)
+    by_job = dict(zip(fitted_once, found, strict=True))
+    models = [by_job[first[kind]] for kind in kinds]
+    wide = add_scores(_held_out(rows), {f"s{x}": m for x, m in by_job.items()})
+    wide = stored(wide.select("split", "RUL_DAYS", *[f"s{x}" for x in fitted_once]))
     cells = [
-        ({"task": n, "config_id": i, "days": d}, f"s{x}") for x, (n, d, i, _) in enumerate(jobs)
+        ({"task": n, "config_id": i, "days": d}, f"s{first[kind]}") for (n, d, i, _), kind in zip(jobs, kinds, strict=True)
     ]
     table = curves.tuned_evaluation(
         _long(wide, cells), ["task", "config_id"], _betas(betas, beta), metric=metric
@@ -629,9 +640,11 @@ def tune_sequences(
     rows = stored(sequence_rows(vectors, length))
 
     def one(train: DataFrame, job) -> Model:
-        return fit_sequence_model(train, job[3], seed=seed)
+        return fit_sequence_model(train, job[3], length=length, seed=seed)
 
-    return _evaluate_configs(rows, tasks, grid, one, metric, SEQUENCE_TASK_BETA, beta, parallelism)
+    return _evaluate_configs(
+        rows, tasks, grid, one, metric, SEQUENCE_TASK_BETA, beta, parallelism, effective=sequence_settings
+    )
 
 
 # --- same-day failure with resampling ----------------------------------------------------------
@@ -650,7 +663,8 @@ def run_resampled_models(
     df = splits.stratified_split(df, "label", seed=seed)
     numeric = ["AGE_OF_EQUIPMENT", *[s for s in SENSORS if s != "S5"]]
     rows, _ = encoded(df, PanelEncoder([*CATEGORICAL, "WELL_GROUP"], numeric), ("ID", "DATE", "split", "label"))
-    more = stored(smote(_train(rows), "label", "features", k, seed))
+    real = stored(_train(rows))
+    more = stored(smote(real, "label", "features", k, seed))
     pca = fit_pca(more, "features", "reduced", pca_variance)
 
     def reduced(data: DataFrame) -> DataFrame:
@@ -662,8 +676,13 @@ def run_resampled_models(
     wide = reduced(_held_out(rows))
     for i, n in enumerate(names):
         if models[n][0] == "svm":
-            sample = add_score(train, fitted[i], "margin", "margin")
-            slope, offset = fit_sigmoid(sample)
+
+            def on_part(part: DataFrame, n: str = n) -> Model:
+                enlarged = reduced(smote(part, "label", "features", k, seed)).select("label", "features")
+                return fit(stored(enlarged), models[n][0], models[n][1], seed=seed)
+
+            # New rows are made of a part's own rows only, and only real rows are scored.
+            slope, offset = cross_fitted_sigmoid(real, on_part, prepare=reduced, balanced=True, seed=seed)
             wide = add_score(wide, fitted[i], "margin", "margin")
             wide = wide.withColumn(f"s{i}", sigmoid(F.col("margin"), slope, offset)).drop("margin")
         else:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from failcast.functions.columns import within
-from failcast.operators import baselines, curves, features, importance, labels, models, splits, tuning
+from failcast.operators import bagging, baselines, curves, features, importance, labels, models, splits, tuning
 from failcast.operators.neighbours import nearest_neighbours
 from failcast.operators.prep import PanelEncoder, make_preprocessor
 from failcast.operators.resample import smote as oversample
@@ -151,16 +153,43 @@ def logreg_multinomial(spark, d):
     return scored.select("ID", day_text(), "split", "true_class", F.col("pred_class").cast("int").alias("pred_class"))
 
 
-@query
-def linear_svc(spark, d):
-    rows = _encoded(spark, d).withColumn("label", within(F.col("RUL_DAYS"), 30))
-    model = models.fit(_train(rows), "svm", {"max_iter": 20})
-    slope, offset = models.fit_sigmoid(models.add_score(_train(rows), model, "margin", "margin"))
+def _margin_scores(spark, d, params):
+    rows = stored(_encoded(spark, d).withColumn("label", within(F.col("RUL_DAYS"), 30)))
+    train = _train(rows)
+    model = models.fit(train, "svm", params)
+    slope, offset = models.cross_fitted_sigmoid(train, lambda part: models.fit(part, "svm", params))
     scored = models.add_score(_held_out(rows), model, "margin", "margin")
     score = models.sigmoid(F.col("margin"), slope, offset)
     return scored.select("ID", day_text(), "split", "label", score.alias("score"))
 
 
+@query
+def linear_svc(spark, d):
+    return _margin_scores(spark, d, {"max_iter": 20, "kernel": "linear"})
+
+
+@query
+def rbf_svc(spark, d):
+    """Margin classifier with the radial kernel, its sigmoid fitted on rows of other folds."""
+    return _margin_scores(spark, d, {"max_iter": 10, "components": 64})
+
+
+@query
+def bagged_forest(spark, d):
+    """Forest whose trees weigh the classes within their own bags."""
+    return _scores(spark, d, "rf", {"n_estimators": 10, "max_depth": 6, "class_weight": "balanced_subsample"})
+
+
+@query
+def bag_class_sizes(spark, d):
+    """Rows of each class in the bags of the first five trees, and that weights balance them."""
+    rows = stored(x.horizon_table(daily_panel(spark, d)).withColumn("label", within(F.col("RUL_DAYS"), 30)))
+    sizes = bagging.bag_sizes(rows, "label", 5)
+    parts = [bagging.bag_weights(rows, "label", t, sizes).withColumn("tree", F.lit(t)) for t in range(5)]
+    drawn = functools.reduce(DataFrame.unionByName, parts)
+    return drawn.groupBy("tree", "label").agg(F.round(F.sum("weight"), 6).alias("weight"), F.count("*").alias("n_rows"))
+
+
 @query
 def gbt_rul(spark, d):
     preds = x.predict_rul(daily_panel(spark, d), BOOSTED, windows=(7,))
@@ -171,7 +200,16 @@ def gbt_rul(spark, d):
 def mlp_sequence(spark, d):
     vectors = _encoded(spark, d, PanelEncoder(CATEGORICAL, numeric_features(), reduce_all=True))
     rows = stored(models.sequence_rows(vectors, 10)).withColumn("label", within(F.col("RUL_DAYS"), 30))
-    model = models.fit_sequence_model(_train(rows), {"dense_units": 16, "epochs": 10})
+    model = models.fit_dense_sequence(_train(rows), {"dense_units": 16, "epochs": 10})
+    return models.add_score(_held_out(rows), model).select("ID", day_text(), "split", "label", "score")
+
+
+@query
+def kernel_sequence(spark, d):
+    """Logistic regression on responses to random kernels along ten days."""
+    vectors = _encoded(spark, d, PanelEncoder(CATEGORICAL, numeric_features(), reduce_all=True))
+    rows = stored(models.sequence_rows(vectors, 10)).withColumn("label", within(F.col("RUL_DAYS"), 30))
+    model = models.fit_sequence_model(_train(rows), {"lstm_units": 32, "epochs": 20})
     return models.add_score(_held_out(rows), model).select("ID", day_text(), "split", "label", "score")
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from failcast.schema import SENSORS
+from failcast.operators import bagging
+from failcast.schema import SEED, SENSORS
 
 _PANEL = """
 days as (
@@ -353,6 +354,20 @@ def build() -> dict[str, str]:
         """select task, split, score as threshold, round(p, 6) as precision, round(r, 6) as recall from pr
            union all select distinct task, split, null, 1.0, 0.0 from pr""",
     )
+    sql["pr_curve_thinned"] = _with(
+        _POINTS
+        + """, steps as (
+          select *, floor(ln(hits) / 0.02) as k1, floor(ln(greatest(cast(tp as double), 0.5)) / 0.02) as k2,
+            floor(case when positives > 0 then tp / positives else 0 end / 0.02) as k3,
+            floor(case when total > positives then (hits - tp) / (total - positives) else 0 end / 0.02) as k4
+          from pr),
+        ends as (
+          select *, min(hits) over w as low, max(hits) over w as high from steps
+          window w as (partition by task, split, k1, k2, k3, k4))""",
+        """select task, split, score as threshold, round(p, 6) as precision, round(r, 6) as recall
+           from ends where hits = low or hits = high
+           union all select distinct task, split, null, 1.0, 0.0 from pr""",
+    )
     sql["roc_curve"] = _with(
         _POINTS,
         """select task, split, score as threshold, round((hits - tp) / nullif(total - positives, 0), 6) as fpr,
@@ -612,6 +627,19 @@ sc as (
         """select cast(position as integer) as position, split, count(*) as n
            from cells join dict using (col, value) group by position, split""",
     )
+    # Three bags share a 60-bit hash; a bag's 20 bits make a Poisson number of mean 1.
+    bags = " union all ".join(
+        f"""select {t} as tree, label, list_sum([cast(u >= s as integer) for s in {bagging._STEPS}]) as times
+            from (select label, (cast('0x' || substr(md5(concat_ws('|', '{SEED * 1_000_003 + t // 3}', cast(ID as varchar),
+              cast(DATE as varchar))), 1, 15) as bigint) >> {20 * (t % 3)}) & 1048575 as u
+              from (select ID, DATE, cast(RUL_DAYS <= 30 as integer) as label from sp))"""
+        for t in range(5)
+    )
+    sql["bag_class_sizes"] = _with(
+        _SPLIT + f", drawn as ({bags}), totals as (select tree, sum(times) as n from drawn group by tree)",
+        """select tree, label, round(any_value(n) / 2, 6) as weight, count(*) filter (times > 0) as n_rows
+           from drawn join totals using (tree) group by tree, label""",
+    )
     sql["prediction_preview"] = _with(
         _WIDE, f"select ID, {_D}, RUL_DAYS, RUL_PRED from wide where split = 'test' order by ID, wide.DATE limit 10"
     )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from failcast.operators import curves, metrics
+from failcast.sources.storage import stored
 
 
 def _literal(value):
@@ -40,10 +41,21 @@ def log_rows(results: DataFrame, settings: Mapping, run_id: str, counts: Mapping
 def append_experiment_log(
     results: DataFrame, settings: Mapping, path: str, run_id: str, counts: Mapping[str, int] | None = None
 ) -> DataFrame:
-    """Append a run to the log and return the whole log."""
-    rows = log_rows(results, settings, run_id, counts)
-    rows.write.mode("append").partitionBy("task").parquet(path)
-    return results.sparkSession.read.option("mergeSchema", True).parquet(path)
+    """Add a run to the log and return the whole log.
+
+    A run has a folder of its own, which is written aside and then put in place of what it held. So a run
+    that is logged again, after a failure or by mistake, stands there once, and runs that are logged at the same
+    time do not touch each other. The results are written first: they may themselves read the log.
+    """
+    rows = stored(log_rows(results, settings, run_id, counts)).withColumn("run", F.lit(f"run-{run_id}"))
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run").parquet(path)
+    return read_experiment_log(results.sparkSession, path)
+
+
+def read_experiment_log(spark: SparkSession, path: str) -> DataFrame:
+    """All runs; a run may have columns that others lack."""
+    return spark.read.option("mergeSchema", True).parquet(path).drop("run")
 
 
 def save_best(model: MLWritable, meta: Mapping, folder: str) -> str:
@@ -57,10 +69,13 @@ def save_best(model: MLWritable, meta: Mapping, folder: str) -> str:
     return folder
 
 
-def save_curves(scored: DataFrame, folder: str, by: list[str], **names) -> None:
-    """Points of the precision-recall and ROC curves per group."""
-    curves.pr_curve(scored, by, **names).write.mode("overwrite").parquet(f"{folder}/pr_curve")
-    curves.roc_curve(scored, by, **names).write.mode("overwrite").parquet(f"{folder}/roc_curve")
+def save_curves(scored: DataFrame, folder: str, by: list[str], epsilon: float = 0.001, **names) -> None:
+    """Points of the precision-recall and ROC curves per group, as many as drawing them within ``epsilon`` takes.
+
+    0 keeps a point for each distinct score.
+    """
+    curves.pr_curve(scored, by, epsilon, **names).write.mode("overwrite").parquet(f"{folder}/pr_curve")
+    curves.roc_curve(scored, by, epsilon, **names).write.mode("overwrite").parquet(f"{folder}/roc_curve")
 
 
 def save_combined(preds: DataFrame, folder: str, by: list[str]) -> None:

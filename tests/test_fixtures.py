@@ -210,6 +210,33 @@ def test_grids(spark):
     assert drawn.count() == 10 and drawn.collect() == tuning.sample_grid(spark, space, 10, replace=True).collect()
 
 
+def test_draws_are_a_permutation_of_the_grid(spark):
+    """All of a small grid once, in an order of its own for each seed; combinations as the full grid numbers them."""
+    space = {"a": [1, 2, 3], "b": [0.1, 0.2], "c": list("vwxyz")}
+    full = {r["config_id"]: (r["a"], r["b"], r["c"]) for r in tuning.full_grid(spark, space).collect()}
+    orders = []
+    for seed in (1, 2, 3):
+        drawn = tuning.sample_grid(spark, space, 100, seed).collect()
+        assert {r["config_id"]: (r["a"], r["b"], r["c"]) for r in drawn} == full
+        orders.append(tuple(r["config_id"] for r in drawn))
+    assert len(set(orders)) == 3 and tuple(sorted(orders[0])) not in orders
+    for size in (1, 2, 7, 64, 1000):
+        got = [r[0] for r in spark.range(size).select(tuning.shuffled_number(F.col("id"), size, 5)).collect()]
+        assert sorted(got) == list(range(size))
+
+
+def test_draws_from_a_grid_that_cannot_be_listed(spark):
+    space = {f"p{i}": list(range(10)) for i in range(12)}
+    drawn = tuning.sample_grid(spark, space, 3000, seed=4)
+    rows = drawn.collect()
+    assert len({r["config_id"] for r in rows}) == 3000
+    assert all(r["config_id"] - 1 == int("".join(str(r[f"p{i}"]) for i in range(12))) for r in rows)
+    for i in range(12):
+        counts = [sum(r[f"p{i}"] == v for r in rows) for v in range(10)]
+        assert min(counts) > 220 and max(counts) < 380
+    assert rows[:40] == tuning.sample_grid(spark, space, 40, seed=4).collect()
+
+
 def test_best_rows(spark):
     df = spark.createDataFrame([("t", 2, 0.5), ("t", 1, 0.5), ("u", 3, 0.1)], "task string, config_id int, val_metric double")
     assert {(r["task"], r["config_id"]) for r in tuning.best_per_task(df).collect()} == {("t", 1), ("u", 3)}

@@ -1,5 +1,7 @@
 """Models on a synthetic log with a planted signal."""
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -119,6 +121,30 @@ def test_three_horizons(log):
     assert {r["rule"] for r in out} == {"confidence", "policy", "cascade"}
 
 
+@pytest.mark.parametrize("epsilon", [0.05, 0.01])
+def test_thinned_curves_stay_close(spark, epsilon):
+    rng = np.random.default_rng(11)
+    label = rng.integers(0, 2, 20_000) * (rng.random(20_000) < 0.1)
+    score = rng.normal(size=20_000) + label
+    scored = spark.createDataFrame(pd.DataFrame({"g": "a", "label": label.astype(int), "score": score}))
+    whole = curves.sweep(scored, ["g"]).toPandas().sort_values("hits")
+    few = curves.thinned(curves.sweep(scored, ["g"]), ["g"], epsilon).toPandas().sort_values("hits")
+    assert set(few.columns) == set(whole.columns) and len(whole) == 20_000
+    assert len(few) <= 2 * (2 + np.log(20_000) + np.log(label.sum()) + 4 * epsilon) / epsilon + 8
+    assert {0, 19_999} <= set(np.searchsorted(whole["hits"], few["hits"]))
+
+    def rates(t):
+        return t["tp"] / t["positives"], (t["hits"] - t["tp"]) / (t["total"] - t["positives"]), t["tp"] / t["hits"]
+
+    for exact, kept in zip(rates(whole), rates(few), strict=True):
+        drawn = np.interp(whole["hits"], few["hits"], kept)
+        assert np.abs(drawn - exact).max() < 2.5 * epsilon
+    areas = [np.trapezoid(rates(t)[0], rates(t)[1]) for t in (whole, few)]
+    assert abs(areas[0] - areas[1]) < epsilon
+    many = curves.pr_curve(scored, ["g"], epsilon)
+    assert many.filter("threshold is null").count() == 1 and many.count() == len(few) + 1
+
+
 def test_unknown_names(rows, log):
     with pytest.raises(ValueError):
         models.make_estimator("nope")
@@ -134,6 +160,16 @@ def test_log_and_model_files(rows, tmp_path, spark):
     sinks.append_experiment_log(table, {"beta": 1.5, "bin_max_days": [7]}, path, "r1")
     whole = sinks.append_experiment_log(table, {"beta": 1.5, "bin_max_days": [7]}, path, "r2")
     assert {r["run_id"] for r in whole.collect()} == {"r1", "r2"}
+    # A run that is logged again stands there once, with what it gave last; a task it no longer has is gone.
+    two = spark.createDataFrame([("NOW", 1, 0.1), ("LE_7_DAYS", 1, 0.2)], "task string, config_id int, val_metric double")
+    sinks.append_experiment_log(two, {"beta": 1.0}, path, "r2")
+    whole = sinks.append_experiment_log(table, {"beta": 2.0}, path, "r2")
+    assert sorted((r["run_id"], r["task"], r["beta"]) for r in whole.collect()) == [("r1", "LE_7_DAYS", 1.5), ("r2", "LE_7_DAYS", 2.0)]
+    # Runs at the same time do not touch each other; results may come from the log itself.
+    with ThreadPool(4) as pool:
+        pool.map(lambda k: sinks.append_experiment_log(table, {"beta": float(k)}, path, f"c{k % 4}"), range(4))
+    again = sinks.append_experiment_log(whole.filter("run_id = 'r1'").select("task", "config_id", "val_metric"), {"beta": 9.0}, path, "r1")
+    assert sorted(r["run_id"] for r in again.collect()) == ["c0", "c1", "c2", "c3", "r1", "r2"]
     train = rows.filter("split = 'train'")
     encoder = prep.PanelEncoder(["REGION_CLUSTER"], ["S16"], variant="svd_cat")
     model = models.fit(train, "logreg", SMALL["logreg"])
