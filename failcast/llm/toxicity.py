@@ -14,7 +14,8 @@ symbols. Texts are dealt into batches of about ``BATCH_BYTES``; a batch asks onc
 distinct contexts, and the answers come back to it. A context is at most one row per piece of a
 batch, whatever the number of texts that share it.
 
-A logistic curve on the evidence turns it into a score; the curve is fitted on a bounded hash sample
+A curve that never falls turns the evidence into a score: the share of toxic rows among labelled rows of
+such evidence, by isotonic regression. It is fitted on a bounded hash sample
 of labelled rows (``sample_rows``, balanced between the classes and weighed back) that are not counted,
 a fifth of a class at most; where that leaves fewer than ``CURVE_ROWS`` of a class, on counted rows.
 
@@ -66,19 +67,29 @@ _SYMBOL = _alphabet()
 class ToxicityModel:
     #: ``context, held, found``: evidence of a new symbol after the context, and of those it had.
     table: DataFrame | None
-    slope: float
-    level: float
+    #: Points of the curve from evidence to score: evidence, rising, and score, not falling.
+    evidence: np.ndarray
+    scores: np.ndarray
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
-        if not self.slope:
+        if not len(self.evidence):
             return np.zeros(len(evidence))
-        return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.level, -500, 500)))
+        # A little of the evidence itself keeps texts apart where the curve is level.
+        order = 0.5 + evidence / (2 * (np.abs(evidence) + 1))
+        return 0.998 * np.interp(evidence, self.evidence, self.scores) + 0.002 * order
 
     def score_of(self, evidence: Column) -> Column:
-        if not self.slope:
-            return F.lit(0.0)
-        at = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), evidence * self.slope + self.level))
-        return 1 / (1 + F.exp(-at))
+        curve = ToxicityModel(None, self.evidence, self.scores)
+
+        @F.arrow_udf("double")
+        def scored(values: pa.Array) -> pa.Array:
+            return pa.array(curve.score(values.to_numpy(zero_copy_only=False)))
+
+        return scored(evidence)
+
+
+def no_model() -> ToxicityModel:
+    return ToxicityModel(None, np.zeros(0), np.zeros(0))
 
 
 def _valid(texts: pa.Array) -> pa.Array:
@@ -325,19 +336,24 @@ def with_evidence(docs: DataFrame, table: DataFrame, name: str) -> DataFrame:
 _ASKED = pa.schema([("asker", pa.int64()), ("context", pa.int64()), ("symbols", pa.list_(pa.int32()))])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and level by Newton's method with a small ridge."""
-    scale = x.std() or 1.0
-    a = np.stack([x / scale, np.ones(len(x))], axis=1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (weight * (p - y)) + 1e-2 * w
-        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2), grad)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(w[0] / scale), float(w[1])
+def rising_shares(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Curve from ``x`` to the share of ones that never falls: neighbours that would fall are one stretch.
+
+    A point stands at each stretch's mean of ``x``. Shares are drawn a little to that of all rows, as by half
+    a row more, so that a stretch of few rows is not certain.
+    """
+    order = np.lexsort((y, x))
+    prior = float((weight * y).sum() / weight.sum())
+    # Of each stretch: weight of ones, weight, weighted sum of x, rows.
+    stretches: list[list[float]] = []
+    for xi, yi, wi in zip(x[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
+        own = [wi * yi, wi, wi * xi, 1]
+        while stretches and (stretches[-1][0] * own[1] >= own[0] * stretches[-1][1]):
+            own = [a + b for a, b in zip(stretches.pop(), own, strict=True)]
+        stretches.append(own)
+    ones, total, place, rows = np.array(stretches, float).T
+    shares = (ones / total * rows + 0.5 * prior) / (rows + 0.5)
+    return place / total, np.maximum.accumulate(shares)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> ToxicityModel:
@@ -348,7 +364,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Toxi
     learnable = docs.select("doc_id").join(known.hint("merge"), "doc_id").groupBy("toxic").agg(F.count("*").alias("n"))
     sizes = {r["toxic"]: r["n"] for r in learnable.collect()}
     if len(sizes) < 2:
-        return ToxicityModel(None, 0.0, 0.0)
+        return no_model()
     share = [min(CURVE_SHARE, sample_rows / 2 / sizes[c]) for c in (0, 1)]
     place = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(1 << 32)) / float(1 << 32)
     in_curve = place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
@@ -358,26 +374,24 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Toxi
         in_curve = F.lit(False)
         cells = stored(gram_counts(texts.join(known.hint("merge"), "doc_id")))
         if not all(cells.agg(F.sum("n0"), F.sum("n1")).first()):
-            return ToxicityModel(None, 0.0, 0.0)
+            return no_model()
     table = stored(gram_evidence(cells))
     curve = _curve(texts.where(place < max(share)).join(known.where(in_curve).hint("merge"), "doc_id"), table, share)
     if curve is None:
         # Too few rows to keep some for the curve: it sees rows that were counted as well.
         share = [min(1.0, sample_rows / 2 / sizes[c]) for c in (0, 1)]
         some = known.where(place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-        curve = _curve(texts.join(some.hint("merge"), "doc_id"), table, share) or (0.0, 0.0)
-    return ToxicityModel(table, *curve)
+        curve = _curve(texts.join(some.hint("merge"), "doc_id"), table, share)
+    return ToxicityModel(table, *curve) if curve else no_model()
 
 
-def _curve(labelled: DataFrame, table: DataFrame, share: list[float]) -> tuple[float, float] | None:
-    """Slope and level fitted on labelled rows; None without ``CURVE_ROWS`` of each class."""
+def _curve(labelled: DataFrame, table: DataFrame, share: list[float]) -> tuple[np.ndarray, np.ndarray] | None:
+    """Curve fitted on labelled rows; None without ``CURVE_ROWS`` of each class."""
     rows = with_evidence(stored(labelled), table, "x").select("toxic", "x").toArrow()
     x, y = rows.column("x").to_numpy(), rows.column("toxic").to_numpy()
     if min((y == 0).sum(), (y == 1).sum()) < (CURVE_ROWS if max(share) <= CURVE_SHARE else 1):
         return None
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    return _logistic(x, y, np.where(y == 1, 1 / share[1], 1 / share[0]))
+    return rising_shares(x, y, np.where(y == 1, 1 / share[1], 1 / share[0]))
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
@@ -404,7 +418,7 @@ def toxicity(text: str | Column, model: ToxicityModel, spark) -> Column:
         rows.column("context").to_numpy(), rows.column("held").to_numpy(), sizes, symbol.flatten().to_numpy(), value.flatten().to_numpy()
     )
     shared = spark.sparkContext.broadcast(evidence)
-    curve = ToxicityModel(None, model.slope, model.level)
+    curve = ToxicityModel(None, model.evidence, model.scores)
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:

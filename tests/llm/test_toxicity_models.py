@@ -120,9 +120,31 @@ def test_scores_follow_the_curve(spark):
     labels = spark.createDataFrame([(k, c) for k, (c, _) in enumerate(rows)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
     x = {r.doc_id: r.x for r in toxicity.with_evidence(docs, model.table, "x").collect()}
-    for r in toxicity.with_toxicity(docs, model).collect():
-        assert r.score == pytest.approx(1 / (1 + math.exp(-(model.slope * x[r.doc_id] + model.level))), rel=1e-9)
-    assert model.slope > 0
+    scores = {r.doc_id: r.score for r in toxicity.with_toxicity(docs, model).collect()}
+    for k in x:
+        assert scores[k] == pytest.approx(model.score(np.array([x[k]]))[0], rel=1e-9) and 0 <= scores[k] <= 1
+    order = sorted(x, key=x.get)
+    assert all(scores[a] <= scores[b] + 1e-12 for a, b in zip(order, order[1:], strict=False))
+    assert model.scores[-1] > 0.5 > model.scores[0]
+
+
+def test_curve_is_the_isotonic_one():
+    """Before the shares are drawn to the prior, a value is the largest of smallest means around it."""
+    rng = np.random.default_rng(4)
+    x, y, w = rng.normal(size=80), rng.integers(0, 2, 80), rng.choice([1.0, 2.5], 80)
+    at, shares = toxicity.rising_shares(x, y, w)
+    order = np.argsort(x)
+    ys, ws = y[order] * w[order], w[order]
+
+    def mean(a, b):
+        return ys[a : b + 1].sum() / ws[a : b + 1].sum()
+
+    exact = np.array([max(min(mean(a, b) for b in range(i, 80)) for a in range(i + 1)) for i in range(80)])
+    starts = np.flatnonzero(np.diff(exact, prepend=-1) > 1e-12)
+    rows = np.diff(np.append(starts, 80))
+    prior = (w * y).sum() / w.sum()
+    assert np.allclose(shares, np.maximum.accumulate((exact[starts] * rows + 0.5 * prior) / (rows + 0.5)))
+    assert (np.diff(at) > 0).all()
 
 
 def test_pieces_give_the_grams_of_the_whole(monkeypatch):
