@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from failcast.llm.common import fresh_name
+from failcast.sources.storage import stored
 
 #: Lower case for A-Z; what is neither digit, letter nor beyond ASCII becomes a space.
 _WORDS = bytes(
@@ -229,12 +230,16 @@ def _hits(shared: Broadcast, text: Column) -> Column:
 def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, into: str = "_hits") -> DataFrame:
     """Adds struct ``into``: ``n_words, n_hit, items`` (sorted ids) and ``spans`` of words, merged."""
     spark = docs.sparkSession
-    parts = []
+    found, names, shared = docs, [], None
     for block in _blocks(benchmark):
-        parts.append(_hits(spark.sparkContext.broadcast(phrases(block, window)), F.col("text")))
-    names = [fresh_name(docs, f"{into}_{k}") for k in range(len(parts))]
-    merged_spans = fresh_name(docs, "_spans")
-    found = docs.withColumns(dict(zip(names, parts, strict=True)))
+        if shared is not None:
+            # One block's phrases at a time: a further block begins when the hits of this one are written.
+            found = stored(found)
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(phrases(block, window))
+        names.append(fresh_name(found, f"{into}_{len(names)}"))
+        found = found.withColumn(names[-1], _hits(shared, F.col("text")))
+    merged_spans = fresh_name(found, "_spans")
     spans: Column = F.col(names[0])["spans"]
     if len(names) > 1:
 
