@@ -4,8 +4,10 @@ A document is its token ids and an end id. Only a document longer than a sequenc
 whole sequences and a rest. The rests are dealt into shards of about ``shard_pieces`` by hash;
 a task packs its shard: best fit in decreasing length first, then local search. The search takes
 the emptiest bin and moves its pieces elsewhere, exchanges one for one, or two for one, always so
-that the sum of squared fills grows, until bins are empty; it ends where no step grows the sum or
-where the free space of all bins is less than one bin, since then no bin can be saved.
+that the sum of squared fills grows, until bins are empty; then the next emptiest one, through all bins
+with room, until no step from any of them grows the sum. Bins with pieces of the same lengths have the
+same steps and are tried once. The search also ends where the free space of all bins is less than
+one bin, since then no bin can be saved.
 
 A shard wastes less than about one sequence, whatever the size of the corpus. Null and
 empty texts are documents of the end id alone. Rows are packed one by one: a repeated document is
@@ -34,8 +36,6 @@ REMEMBERED = 1_000_000
 KEPT = 100_000
 #: Documents encoded together, and new words in one text for the tokenizer.
 TOGETHER, JOINED = 128, 256
-#: Emptiest bins that the local search works on in turn.
-EMPTIEST = 32
 _STOPS = b".,;:!?"
 
 
@@ -202,21 +202,30 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def swap_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
-    """Local search on a packing; returns bins, some of them empty now."""
+    """Local search on a packing; returns bins, some of them empty now.
+
+    Sweeps over all bins with room, the emptiest first, until one of them changes nothing.
+    """
     bins = bins.copy()
     fill = np.bincount(bins, weights=lengths).astype(np.int64)
-    stuck: set[int] = set()
-    while True:
-        space = int((capacity - fill[fill > 0]).sum())
-        if space < capacity:
-            return bins
-        order = [b for b in np.argsort(fill, kind="stable").tolist() if fill[b] and b not in stuck]
-        if not order or len(stuck) >= EMPTIEST:
-            return bins
-        if _empty_bin(order[0], lengths, bins, fill, capacity):
-            stuck.clear()
-        if fill[order[0]]:
-            stuck.add(order[0])
+    changed = True
+    while changed:
+        changed = False
+        stuck: set[bytes] = set()
+        for e in np.argsort(fill, kind="stable").tolist():
+            if int((capacity - fill[fill > 0]).sum()) < capacity:
+                return bins
+            if not 0 < fill[e] < capacity:
+                continue
+            content = np.sort(lengths[bins == e]).tobytes()
+            if content in stuck:
+                continue
+            if _empty_bin(e, lengths, bins, fill, capacity):
+                changed = True
+                stuck.clear()
+            else:
+                stuck.add(content)
+    return bins
 
 
 def _empty_bin(e: int, lengths: np.ndarray, bins: np.ndarray, fill: np.ndarray, capacity: int) -> bool:
@@ -259,8 +268,11 @@ def _step(e: int, lengths: np.ndarray, bins: np.ndarray, fill: np.ndarray, capac
     if not len(other):
         return None
     at, size, space = bins[other], lengths[other], room[bins[other]]
-    outs = [[i] for i in mine.tolist()]
-    outs += [[i, j] for k, i in enumerate(mine.tolist()) for j in mine[k + 1 : k + 9].tolist()]
+    # Pieces of one length are alike.
+    pieces = mine.tolist()
+    singles = {int(lengths[i]): [i] for i in pieces}
+    pairs = {(int(lengths[i]), int(lengths[j])): [i, j] for i, j in itertools.combinations(pieces, 2)}
+    outs = [*singles.values(), *pairs.values()]
     for out in outs:
         mass = int(lengths[out].sum()) - size
         gain = np.where((mass > 0) & (mass <= space), 2 * mass * (fill[at] + mass - fill[e]), 0)

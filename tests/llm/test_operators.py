@@ -304,6 +304,48 @@ def least_bins(sizes, capacity):
     return best
 
 
+def test_swap_search_goes_on_through_all_bins():
+    """No step from any bin with room grows the sum when the search ends."""
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        lengths = np.concatenate([np.full(40, 1030), rng.integers(300, 1000, 260)])
+        first = packing.best_fit(lengths, 2048)
+        found = packing.swap_search(lengths, first, 2048)
+        fill = np.bincount(found, weights=lengths).astype(np.int64)
+        assert fill.max() <= 2048 and fill.sum() == lengths.sum()
+        assert (fill > 0).sum() < len(np.unique(first))
+        if (2048 - fill[fill > 0]).sum() >= 2048:
+            for e in np.flatnonzero((fill > 0) & (fill < 2048)).tolist():
+                assert packing._step(e, lengths, found, fill, 2048) is None
+
+
+def test_one_block_of_the_benchmark_at_a_time(spark, monkeypatch):
+    """Many blocks give the same hits as one, and one block's phrases are alive."""
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(30)]
+    items = [(k, " ".join(rng.choices(words, k=14))) for k in range(40)] + [(99, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, [(k, " ".join(rng.choices(words, k=30)) + " " + (items[k % 40][1] if k % 3 == 0 else "")) for k in range(60)])
+    one = collected(decontaminate.contamination(docs, benchmark))
+    alive, most = set(), []
+    context = type(spark.sparkContext)
+    make = context.broadcast
+
+    def broadcast(self, value):
+        made = make(self, value)
+        alive.add(id(made))
+        most.append(len(alive))
+        destroy = made.destroy
+        made.destroy = lambda *a: (alive.discard(id(made)), destroy(*a))
+        return made
+
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 200)
+    many = collected(decontaminate.contamination(docs, benchmark))
+    assert many == one and sum(r.contaminated for r in one.values()) >= 20
+    assert len(most) > 4 and max(most) == 1
+
+
 def test_swap_search_empties_bins():
     lengths = np.array([6, 6, 5, 5, 5, 3], np.int64)
     start = np.array([0, 1, 2, 2, 3, 1])
