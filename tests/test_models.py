@@ -102,6 +102,56 @@ def test_oversampling_many_equal_rows(spark):
     assert out.filter("label = 1").count() == 140
 
 
+def importance_by_encoding(model, df, columns, repeats, seed=42):
+    """Each column moved along the order of rows, whole rows encoded and scored again."""
+    ordered = importance.dense_index(df).orderBy("position").collect()
+    rows = pd.DataFrame([r.asDict() for r in ordered], dtype=object)
+    spark, n = df.sparkSession, len(rows)
+
+    def quality(table):
+        given = spark.createDataFrame(list(table[df.columns].itertuples(index=False, name=None)), df.schema)
+        return curves.ranking_metrics(models.add_score(given, model)).first()["pr_auc"]
+
+    base, out = quality(rows), {}
+    for c in columns:
+        drops = []
+        for r in range(repeats):
+            shift = 1 + (seed * 7919 + 104729 * (r + 1)) % max(n - 1, 1)
+            moved = rows.copy()
+            moved[c] = np.roll(rows[c].to_numpy(dtype=object), shift)
+            drops.append(base - quality(moved))
+        out[c] = (np.mean(drops), np.std(drops))
+    return out
+
+
+@pytest.mark.parametrize("kind, variant", [("logreg", "baseline"), ("rf", "both")])
+def test_importance_of_other_models_and_reduced_vectors(log, kind, variant):
+    df = x.horizon_table(log).withColumn("label", within(F.col("RUL_DAYS"), 7))
+    train, test = (df.filter(f"split = '{s}'") for s in ("train", "test"))
+    columns = ["REGION_CLUSTER", "S16", "S17"]
+    encoder = prep.PanelEncoder(columns[:1], columns[1:], variant=variant).fit(train)
+    model = models.fit(encoder.transform(train), kind, {"n_estimators": 5, "max_depth": 4, "max_iter": 20})
+    whole = PipelineModel([encoder, model])
+    table = importance.permutation_importance(whole, test, "label", columns, 2)
+    want = importance_by_encoding(whole, test, columns, 2)
+    for r in table.collect():
+        assert (r["importance"], r["importance_std"]) == pytest.approx(want[r["feature"]], abs=1e-9)
+
+
+def test_columns_without_a_split_are_not_scored(log):
+    df = x.horizon_table(log).withColumn("label", within(F.col("RUL_DAYS"), 7))
+    train = df.filter("split = 'train'")
+    columns = [*CATEGORICAL, *SENSORS]
+    encoder = prep.PanelEncoder(CATEGORICAL, SENSORS, scale=False).fit(train)
+    model = models.fit(encoder.transform(train), "rf", {"n_estimators": 1, "max_depth": 1})
+    encode, join, parts = importance.encoded_parts(encoder, columns)
+    row = encode.transform(df).select(*parts.values()).first()
+    used = importance.used_columns(model, join, row, parts)
+    assert len(parts) == len(columns) and len(used) <= 1
+    table = importance.permutation_importance(PipelineModel([encoder, model]), df.filter("split = 'test'"), "label", columns, 2)
+    assert {r["feature"] for r in table.collect() if r["importance"]} <= set(used) and table.count() == len(columns)
+
+
 def test_importance_finds_the_planted_sensor(rows, log):
     df = x.horizon_table(log).withColumn("label", within(F.col("RUL_DAYS"), 7))
     columns = [*CATEGORICAL, *SENSORS]
@@ -110,6 +160,10 @@ def test_importance_finds_the_planted_sensor(rows, log):
     test = df.filter("split = 'test'")
     table = importance.permutation_importance(PipelineModel([encoder, model]), test, "label", columns, 3)
     assert importance.top_feature(table).first()["feature"] == "S16" and table.count() == len(columns)
+    # The same drops as by encoding shuffled rows anew.
+    want = importance_by_encoding(PipelineModel([encoder, model]), test, columns, 3)
+    got = {r["feature"]: (r["importance"], r["importance_std"]) for r in table.collect()}
+    assert all(got[c] == pytest.approx(want[c], abs=1e-9) for c in columns)
     n = test.count()
     index = [r[0] for r in importance.dense_index(test).select("position").collect()]
     assert sorted(index) == list(range(n))
