@@ -24,10 +24,10 @@ from failcast.llm import (
     toxicity,
 )
 from failcast.llm.common import fold, table
+from failcast.llm.oracles import ORACLES
 
+__all__ = ["ORACLES", "QUERIES"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: Queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -101,39 +101,6 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
-ORACLES["op11_ranked_search"] = r"""
-with words as (
-    select doc, doc_id, unnest(regexp_extract_all(
-        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
-    from (select row_number() over () as doc, doc_id, text from documents)
-), postings as (
-    select doc, doc_id, term, count(*) as tf from words group by all
-), lengths as (
-    select doc, sum(tf) as n from postings group by all
-), totals as (
-    select count(*) as docs, sum(n) as len from lengths
-), wanted as (
-    select distinct item_id, unnest(regexp_extract_all(
-        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
-    from benchmark
-), weights as (
-    select term, cast(floor(1000 * ln(cast(2 * any_value(docs) + 2 as double) / (2 * count(*) + 1))) as bigint) as w
-    from postings, totals group by term
-), scored as (
-    select item_id, doc, doc_id,
-        cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // len)))) as bigint) as score
-    from wanted join postings using (term) join weights using (term) join lengths using (doc), totals
-    group by item_id, doc, doc_id
-), ranked as (
-    select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as int) as rank, doc_id, score
-    from scored where score > 0
-)
-select item_id, rank, doc_id, score from ranked where rank <= 10
-"""
-
-
 @query
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
