@@ -9,7 +9,9 @@ to the next sampled suffix position, and the occurrences are merged to spans of
 Items are read in blocks of bounded size, one pass over the documents each. A window is ``window``
 consecutive words of an item; an item of fewer words, but not none, is one window. Null texts
 have no words. Items with the same id are one item, a null id is written as the empty string.
-Every row of the documents gives one row, with repeated rows each on its own.
+Every row of the documents gives one row, with repeated rows each on its own. Texts of any length are
+indexed whole. Without documents there are no rows, without items no document has a hit. Helper columns
+take names that the table does not have.
 """
 
 from __future__ import annotations

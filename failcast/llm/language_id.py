@@ -11,7 +11,9 @@ Since averaging and softmax layer are linear, scoring adds up one small row per
 texts in vectors, cut into pieces of bytes, so memory does not follow a text's length.
 
 Null texts and texts without a letter get ``und`` and score 0. Without any labelled row all get
-``und``. Languages with one row count like others; a null label is never learned.
+``und``. Languages with one row count like others; a null label is never learned. Of equally likely languages
+the first in code-point order is given. Repeated rows are learned and judged each on its own; an
+empty table gives no rows. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ spanning forest. Equal vectors are one row with a multiplicity; a large cell is
 
 Null and zero vectors and those with null or non-finite components link with nothing and stand
 for themselves. Vectors of different length never link. Rows with the same id and vector are one
-vector (each row gets its result).
+vector (each row gets its result). Of vectors at one cosine all are linked. An empty table gives no rows;
+other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ their score reaches ``least_score``.
 The patterns are written so that Java's matcher neither recurses per character nor tries a run
 of characters from each of its places; they match what the plain forms named beside them match.
 Rows without the characters a kind needs skip its work. Null texts count as empty. One row out
-per row in, repeated ids included.
+per row in, repeated ids included; an empty table gives no rows. Texts of any length are read whole.
+Other columns are not looked at by ``find_pii`` and stay as they are in ``mask_pii``.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ out per step. A window is suspicious when its entropy reaches the limit of the c
 characters in it and its letters do not stand like those of words; overlapping suspicious windows
 are one span. An allow-list suppresses the windows
 that overlap placeholders, identifiers in words, and uniform unique ids. Null texts count as empty; every row in gives
-one row out, repeated ids included. Extra columns of the input are not looked at.
+one row out, repeated ids included; an empty table gives no rows. Texts of any length are read whole.
+Extra columns of the input are not looked at.
 """
 
 from __future__ import annotations

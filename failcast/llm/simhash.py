@@ -8,7 +8,8 @@ masked bit; a pair must then hold the budgets of every longer chain before all b
 
 Equal fingerprints are one row from the start, so copies cost nothing. Inside a bucket only a
 spanning forest of the links leaves the task. Null and blank texts have the fingerprint zero
-and are linked like others. Every row in gives one row out; ``component_id`` ignores null ids.
+and are linked like others. Every row in gives one row out; ``component_id`` ignores null ids. An empty table gives no rows. Helper
+columns take names that the table does not have.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ to the left of its anchor and what it has from the anchor on are both found toge
 occurrence. Consecutive repeated windows are a maximal repeat of at least the threshold, and all
 its words go. Both occurrences go: windows are judged on the input.
 
-Null and blank texts have no words and keep the digest of the empty text. See ``winnow`` for
+Null and blank texts have no words and keep the digest of the empty text. An empty table gives no rows;
+other columns are not looked at, whatever their names. See ``winnow`` for
 repeated rows, null ids and hot passages. Words are compared by 64-bit hashes of 8-word grams
 and of the whole extensions.
 """

@@ -11,7 +11,8 @@ each with a family of its own, so the strings in memory are those of one part. A
 different segments are settled by counting (see ``winnow``).
 
 Every byte inside a string that also starts earlier (smaller id, or same document, earlier place)
-goes; strings are judged on the input. Null texts are empty. See ``winnow`` for repeated rows.
+goes; strings are judged on the input. Null texts are empty. See ``winnow`` for repeated rows. An empty table gives no rows; other columns are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations

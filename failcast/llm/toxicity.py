@@ -20,7 +20,8 @@ of labelled rows (``sample_rows``, balanced between the classes and weighed back
 a fifth of a class at most; where that leaves fewer than ``CURVE_ROWS`` of a class, on counted rows.
 
 Null and empty texts have no evidence: their score is that of evidence zero. Labels other than 0
-and 1 are not learned; a document with several label rows counts once per row. Without both
+and 1 are not learned; a document with several label rows counts once per row. Rows that repeat are scored
+alike; an empty table gives no rows. Helper columns take names that the table does not have. Without both
 classes every score is 0.
 """
 

@@ -142,6 +142,8 @@ DONE, MANY = 1, 2
 
 
 def _place(start: np.ndarray, n: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    if np.size(n) and np.max(n) >= 128:
+        raise ValueError("a segment has 128 windows or more: the window is too long for its anchors")
     return start << 10 | n << 3 | flags
 
 

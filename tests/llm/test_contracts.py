@@ -8,7 +8,9 @@ from collections import Counter
 
 import numpy as np
 
-from failcast.llm import lattice, secret_scan
+import pytest
+
+from failcast.llm import lattice, secret_scan, winnow
 from failcast.llm.common import table
 from failcast.llm.queries import QUERIES
 
@@ -99,3 +101,11 @@ def test_components_of_vectors(spark):
     for k, i in enumerate(ids):
         assert (found[i].component_id, found[i].kept) == (root[k], root[k] == i)
         assert found[i].n_links == close[k].sum() - 1
+
+
+def test_segments_that_do_not_fit_raise():
+    start, n = np.array([5]), np.array([127])
+    place = winnow._place(start, n, np.array([3]))
+    assert (place >> 10, place >> 3 & 127, place & 7) == (5, 127, 3)
+    with pytest.raises(ValueError, match="too long"):
+        winnow._place(start, n + 73, np.array([0]))
