@@ -6,11 +6,13 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from failcast.functions.columns import within
-from failcast.operators import components, curves, importance, models, prep, resample
+from failcast.operators import components, curves, forest, importance, models, prep, resample
 from failcast.plans import experiments as x
 from failcast.schema import CATEGORICAL, SENSORS, numeric_features
 from failcast.sources import machine_log, sinks
@@ -152,6 +154,33 @@ def test_columns_without_a_split_are_not_scored(log):
     assert {r["feature"] for r in table.collect() if r["importance"]} <= set(used) and table.count() == len(columns)
 
 
+def test_forest_scores_equal_the_models(spark):
+    """Scores in Arrow batches equal the model's own to the last bit, also with a column of another row."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.integers(0, 2, (400, 2)), rng.normal(size=(400, 3))], axis=1).astype(float)
+    y = ((x[:, 0] + x[:, 2] + rng.normal(size=400)) > 1).astype(float)
+    other = x[rng.permutation(400)]
+    rows = [(*map(float, a), *map(float, b), float(t)) for a, b, t in zip(x, other, y)]
+    df = spark.createDataFrame(rows, [*[f"a{i}" for i in range(5)], *[f"b{i}" for i in range(5)], "label"])
+    mixed = ["a0", "a1", "b2", "a3", "a4"]
+    for name, columns in (("own", [f"a{i}" for i in range(5)]), ("other", [f"b{i}" for i in range(5)]), ("mixed", mixed)):
+        df = VectorAssembler(inputCols=columns, outputCol=name).transform(df)
+    # Two features are binary attributes, which trees split on as categories.
+    attrs = {"ml_attr": {"attrs": {"binary": [{"idx": 0}, {"idx": 1}], "numeric": [{"idx": i} for i in (2, 3, 4)]}, "num_attrs": 5}}
+    train = df.select("label", F.col("own").alias("features")).withMetadata("features", attrs)
+    model = RandomForestClassifier(numTrees=7, maxDepth=5, seed=3).fit(train)
+    read = forest.read_trees(spark, model)
+    scores = forest.shuffled_scores(spark, *read, 5, [(2, 1)], "own", "other")
+    kinds = [f"p{i}" for i in range(2)]
+    for name, out in zip(("own", "mixed"), kinds):
+        df = model.setFeaturesCol(name).transform(df).withColumn(out, F.get(vector_to_array("probability"), F.lit(1))).drop(
+            "rawPrediction", "probability", "prediction"
+        )
+    found = df.select(scores.alias("s"), *kinds).collect()
+    assert [r["s"] for r in found] == [[r["p0"], r["p1"]] for r in found]
+    assert any(r["p0"] != r["p1"] for r in found)
+
+
 def test_importance_finds_the_planted_sensor(rows, log):
     df = x.horizon_table(log).withColumn("label", within(F.col("RUL_DAYS"), 7))
     columns = [*CATEGORICAL, *SENSORS]
