@@ -56,6 +56,13 @@ def test_bags_equal_brute_force(spark):
     assert 0.9 < total / 2800 < 1.1
 
 
+def test_counts_of_all_bags_at_once(spark):
+    df = spark.range(200).select(F.col("id").alias("ID"), F.lit("2020-01-01").alias("DATE"))
+    each = F.array(*[bagging.bag_count(t).cast("byte") for t in range(7)])
+    found = df.select(bagging.bag_counts(7).alias("all"), each.alias("each")).collect()
+    assert all(len(r["all"]) == 7 and r["all"] == r["each"] for r in found)
+
+
 def test_forest_of_bags(spark):
     rng = np.random.default_rng(1)
     points = rng.normal(size=(600, 4))
