@@ -15,7 +15,7 @@ from failcast.functions.columns import within
 from failcast.operators import components, curves, forest, importance, models, prep, resample
 from failcast.plans import experiments as x
 from failcast.schema import CATEGORICAL, SENSORS, numeric_features
-from failcast.sources import machine_log, sinks
+from failcast.sources import machine_log, sinks, storage
 
 
 @pytest.fixture(scope="module")
@@ -154,6 +154,24 @@ def test_columns_without_a_split_are_not_scored(log):
     assert {r["feature"] for r in table.collect() if r["importance"]} <= set(used) and table.count() == len(columns)
 
 
+def test_partitions_of_a_fit_hold_bounded_rows(spark, monkeypatch):
+    """A table in few partitions is dealt over more before trees are fitted, and no row is lost."""
+    df = spark.range(3000).select(
+        (F.col("id") % 2).cast("int").alias("label"), array_to_vector(F.array(*[(F.col("id") * k % 7).cast("double") for k in range(5)])).alias("features")
+    ).coalesce(1)
+    assert models._spread(df).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(storage, "TASK_NUMBERS", 2500)
+    dealt = models._spread(df)
+    sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 6 and max(r["count"] for r in sizes) <= 600
+    assert dealt.exceptAll(df).isEmpty() and df.exceptAll(dealt).isEmpty()
+    for kind in models.TREES:
+        seen = []
+        monkeypatch.setattr(models, "spread", lambda d, n: seen.append(n) or storage.spread(d, n))
+        models.fit(df, kind, {"n_estimators": 2, "max_depth": 2, "class_weight": None})
+        assert seen == [5]
+
+
 def test_forest_scores_equal_the_models(spark):
     """Scores in Arrow batches equal the model's own to the last bit, also with a column of another row."""
     rng = np.random.default_rng(5)
