@@ -34,10 +34,11 @@ from failcast.sources.storage import stored
 #: Words remembered by a worker; then its memory is emptied.
 REMEMBERED = 1_000_000
 #: Words kept from one task to the next: those met first, mostly the common ones.
-KEPT = 100_000
+KEPT = 200_000
 #: Documents encoded together, and new words in one text for the tokenizer.
 TOGETHER, JOINED = 128, 256
 _STOPS = b".,;:!?"
+_STOP_BYTES = frozenset(_STOPS)
 
 
 def _words(data: bytes) -> list[bytes]:
@@ -67,32 +68,29 @@ class WordEncoder:
         tokens = (self.tokenizer.id_to_token(i) or "" for i in range(size))
         self.ends = np.array([t.endswith("</w>") for t in tokens], bool)
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4") for e in found]
 
-    def _learn_parts(self, new: set[bytes]) -> None:
-        words = {w: w.decode() for w in new}
-        letters = [w for w, t in words.items() if t.isalpha()]
+    def _learn_parts(self, new: list[bytes]) -> None:
+        # Letters of ASCII are told without decoding.
+        letters, alone = [], []
+        for word in new:
+            (letters if word.isalpha() or word.decode().isalpha() else alone).append(word)
         groups = [letters[k : k + JOINED] for k in range(0, len(letters), JOINED)]
-        alone = [w for w, t in words.items() if not t.isalpha()]
-        for group, ids in zip(groups, self._ids([" ".join(words[w] for w in g) for g in groups]), strict=True):
+        for group, ids in zip(groups, self._ids([b" ".join(g).decode() for g in groups]), strict=True):
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(group) or cuts[-1] != len(ids):
                 alone += group
                 continue
             data, stops = ids.tobytes(), (4 * cuts).tolist()
-            self.parts.update(
-                (w, data[a:b]) for w, a, b in zip(group, [0, *stops[:-1]], stops, strict=True)
-            )
-        self.parts.update((w, x.tobytes()) for w, x in zip(alone, self._ids([words[w] for w in alone]), strict=True))
+            self.known.update(zip(group, [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+        self.known.update(zip(alone, [x.tobytes() for x in self._ids([w.decode() for w in alone])], strict=True))
 
     def shrink(self) -> None:
         """Gives memory back after a task; the worker may go on with other work."""
         self.known = dict(itertools.islice(self.known.items(), KEPT))
-        self.parts = dict(itertools.islice(self.parts.items(), KEPT))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # A special token's name is one only in its own case.
@@ -105,20 +103,27 @@ class WordEncoder:
         ]
 
     def _learn(self, split: list[list[bytes] | None]) -> None:
-        words = {w for x in split if x for w in x}
+        words = set().union(*[x for x in split if x])
         new = words.difference(self.known)
-        if len(self.known) + len(self.parts) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            self.parts.clear()
             new = words
-        cut = {}
+        # A word without its stops, and stops alone, are words as well.
+        parts, cut = [], []
         for word in new:
+            if word[-1] not in _STOP_BYTES:
+                parts.append(word)
+                continue
             core = word.rstrip(_STOPS)
-            apart = len(core) < len(word) and core and core.decode().lower()[-1].isalnum()
-            cut[word] = (core, word[len(core) :]) if apart else (word,)
-        self._learn_parts({p for parts in cut.values() for p in parts if p not in self.parts})
-        for word, parts in cut.items():
-            self.known[word] = b"".join([self.parts[p] for p in parts])
+            if core and core.decode().lower()[-1].isalnum():
+                cut.append((word, core, word[len(core) :]))
+            else:
+                parts.append(word)
+        others = {p for _, core, stops in cut for p in (core, stops)}
+        parts += others.difference(self.known, parts)
+        self._learn_parts(parts)
+        known = self.known
+        known.update([(word, known[core] + known[stops]) for word, core, stops in cut])
 
 
 @functools.lru_cache(maxsize=1)

@@ -304,6 +304,19 @@ def least_bins(sizes, capacity):
     return best
 
 
+def test_words_are_learned_once_with_and_without_stops(monkeypatch):
+    encoder = packing.WordEncoder(VOCABULARY)
+    whole = encoder.encode(["alpha beta, gamma... ,; n0te! déjà."])
+    # What stands before the stops is known as a word of its own, and the stops as well.
+    assert {b"alpha", b"beta", b",", b"gamma", b"...", b",;", "déjà".encode()} <= set(encoder.known)
+    asked = []
+    monkeypatch.setattr(encoder, "_ids", lambda texts: asked.extend(texts) or [])
+    assert encoder.encode(["beta alpha , gamma"]) and not asked
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    expected = tokenizer.encode("alpha beta, gamma... ,; n0te! déjà.", add_special_tokens=False).ids
+    assert np.frombuffer(whole[0], "<u4").tolist() == expected
+
+
 def test_swap_search_goes_on_through_all_bins():
     """No step from any bin with room grows the sum when the search ends."""
     for seed in range(4):
