@@ -46,7 +46,7 @@ BLANK = 32
 #: Bytes of texts whose 4-grams are looked at together.
 PIECE = 1 << 20
 #: Bytes of texts that are scored together.
-BATCH_BYTES = 1 << 24
+BATCH_BYTES = 1 << 23
 #: Part of the labelled rows kept for the curve at most, and rows of each class that it needs.
 CURVE_SHARE, CURVE_ROWS = 0.2, 20
 #: Largest model, in contexts, that the column form takes to every worker.
@@ -145,6 +145,7 @@ def grams(texts: pa.Array) -> Iterator[Grams]:
         here[codes] = True
         here[BLANK] = True
         alphabet = np.flatnonzero(here)
+        del here
         if len(alphabet) > 1 << 16:
             size //= 2
             continue
@@ -152,9 +153,11 @@ def grams(texts: pa.Array) -> Iterator[Grams]:
         before = np.concatenate([[0], np.cumsum(data[at:end] & 0xC0 != 0x80)])
         met = slice(np.searchsorted(starts, at), np.searchsorted(starts, end, "right"))
         places[met] = done + before[starts[met] - at]
-        number = (np.cumsum(here) - 1).astype(np.uint64)
+        number = np.zeros(SYMBOLS, np.uint16)
+        number[alphabet] = np.arange(len(alphabet))
         blank = number[BLANK]
-        part = np.concatenate([np.full(ORDER - 1 - lead, blank), number[codes]])
+        part = np.concatenate([np.full(ORDER - 1 - lead, blank, np.uint16), number[codes]])
+        del codes, number, before
         keys = np.zeros(n, np.uint64)
         near = slice(np.searchsorted(places[:-1], done - ORDER, "right"), np.searchsorted(places[:-1], done + n))
         cuts = np.unique(places[:-1][near]) - done

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -161,6 +162,18 @@ def test_pieces_give_the_grams_of_the_whole(monkeypatch):
         assert found == want
 
 
+def test_memory_of_a_piece_is_bounded():
+    texts = pa.array(["some words of a text, again " * 2000] * 40)
+    for _ in toxicity.grams(texts):
+        pass
+    tracemalloc.start()
+    for _ in toxicity.grams(texts):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 36 * toxicity.PIECE
+
+
 def test_labels_of_other_documents_have_no_influence(spark):
     rows = labelled_rows(300)
     docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
