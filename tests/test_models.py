@@ -59,6 +59,40 @@ def test_models_beat_chance_and_repeat(rows, kind):
     assert a == b
 
 
+def counted_reads(df):
+    """``df``, and a counter of the rows that are read from it."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(count, df.schema), seen
+
+
+def test_the_log_is_read_once(log):
+    counted, seen = counted_reads(log)
+    table = x.horizon_table(counted)
+    assert seen.value == log.count()
+    rul = x.labels.rul_labels(log)
+    expected = x.splits.time_split(x.features.lag_roll_features(rul), of=rul)
+    assert sorted(map(str, table.collect())) == sorted(map(str, expected.collect()))
+    assert table.columns == expected.columns
+    assert x.splits.stored_time_split(rul.filter("ID < 0")).count() == 0
+
+
+def test_kernels_slide_over_sequences_once(rows):
+    train = storage.stored(models.sequence_rows(rows.drop("label"), 10)).filter("split = 'train'")
+    train = train.withColumn("label", within(F.col("RUL_DAYS"), 30)).select("label", F.unwrap_udt("features").alias("f"))
+    counted, seen = counted_reads(train)
+    shape = F.transform(F.col("f")["values"], lambda v: v)
+    dense = counted.filter("f.type = 1").select("label", array_to_vector(shape).alias("features"))
+    models.fit_sequence_model(dense, {"lstm_units": 4, "epochs": 5})
+    # Class sizes and responses; the look at the first row ends early.
+    assert seen.value < 3 * train.count(), seen.value / train.count()
+
+
 def test_calibrated_best(rows):
     model, table = models.fit_calibrated_best(rows, candidates=("logreg", "rf"), params=SMALL)
     assert table.count() == 2
