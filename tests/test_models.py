@@ -11,10 +11,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from failcast.functions.columns import within
-from failcast.operators import components, curves, forest, importance, models, prep, resample
+from failcast.functions.columns import row_hash, within
+from failcast.operators import components, curves, forest, importance, models, prep, resample, splits
 from failcast.plans import experiments as x
-from failcast.schema import CATEGORICAL, SENSORS, numeric_features
+from failcast.schema import CATEGORICAL, KEYS, SEED, SENSORS, numeric_features
 from failcast.sources import machine_log, sinks, storage
 
 
@@ -321,3 +321,23 @@ def test_saved_preparation_reads_back(log, tmp_path):
     a = encoder.transform(log).orderBy("ID", "DATE").first()["features"]
     b = again.transform(log).orderBy("ID", "DATE").first()["features"]
     assert np.allclose(a.toArray(), b.toArray())
+
+
+def test_oversampling_of_few_rows_is_dealt_over_tasks(spark):
+    data = [(i, int(i < 3), [float(i), float(i % 3), 1.0]) for i in range(9003)]
+    df = spark.createDataFrame(data, "id long, label int, a array<double>").withColumn("features", array_to_vector("a"))
+    made = resample.smote(df, keys=["id"]).filter("synthetic = 1")
+    counts = [r["n"] for r in made.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(counts) == 8997 and len(counts) > 4 and max(counts) <= 8997 // 2
+    points = [np.array(d[2]) for d in data[:3]]
+    for x in (r[0].toArray() for r in made.select("features").limit(50).collect()):
+        gaps = [abs(np.linalg.norm(x - p) + np.linalg.norm(x - q) - np.linalg.norm(p - q)) for p in points for q in points]
+        assert min(gaps) < 1e-9
+
+
+def test_split_by_a_stored_hash(spark):
+    df = spark.range(500).select(F.col("id").alias("ID"), F.lit("2020-01-01").alias("DATE"), (F.col("id") % 9 == 0).cast("int").alias("label"))
+    plain = splits.stratified_split(df, "label")
+    stored = splits.stratified_split(df.withColumn("_h", row_hash(KEYS, SEED)), "label", hashed="_h")
+    assert stored.columns == plain.columns
+    assert sorted(stored.collect()) == sorted(plain.collect())
