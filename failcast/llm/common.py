@@ -3,6 +3,7 @@ split buckets and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +34,17 @@ def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def give_back() -> None:
+    """Memory that a worker's allocators keep from work that is done goes back to the system.
+
+    A worker waits for further tasks of any stage; what it keeps adds to what the others need.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def fold(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``; a null id counts as the text ''."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from failcast.llm.common import give_back
 from failcast.sources.storage import stored
 
 #: Words remembered by a worker; then its memory is emptied.
@@ -156,6 +157,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The worker may have done other work before.
+        give_back()
         encoder = _encoder(vocabulary)
         row = 0
         for batch in batches:
@@ -175,6 +178,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int =
                 [pa.array(c, t) for c, t in zip(columns, PIECES.types, strict=True)], schema=PIECES
             )
         encoder.shrink()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         cut, "doc_id long, piece int, start long, length long, ids_crc32 long, row long"

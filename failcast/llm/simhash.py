@@ -26,6 +26,7 @@ from failcast.llm.common import (
     BLOCK,
     components,
     deal,
+    give_back,
     run_starts,
     sorted_runs,
     spanning_links,
@@ -69,6 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(prints.view(np.int64))], schema=schema
             )
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, fp long")
 

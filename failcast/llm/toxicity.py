@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from failcast.llm.common import add_by_text, fresh_name, id_filter, run_starts, text_bytes
+from failcast.llm.common import add_by_text, fresh_name, give_back, id_filter, run_starts, text_bytes
 from failcast.sources.storage import stored
 
 ORDER = 4
@@ -309,6 +309,7 @@ def with_evidence(docs: DataFrame, table: DataFrame, name: str) -> DataFrame:
     dealt = docs.withColumn(batch, number).repartition(F.col(batch))
 
     def ask(rows: pa.Table) -> pa.Table:
+        give_back()
         cells: list[tuple[np.ndarray, np.ndarray]] = []
         for piece in grams(_joined(rows.column("text"))):
             cells.append(piece.cells(np.unique(piece.keys)))
@@ -323,6 +324,7 @@ def with_evidence(docs: DataFrame, table: DataFrame, name: str) -> DataFrame:
         return pa.Table.from_arrays([pa.array(asker), pa.array(context[heads]), lists], schema=_ASKED)
 
     def answer(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         symbol, value = (_joined(answers.column(k)) for k in ("symbols", "found"))
         context = answers.column("context").to_numpy()
         sizes = symbol.value_lengths().to_numpy(zero_copy_only=False)

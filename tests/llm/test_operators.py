@@ -613,3 +613,18 @@ def test_lattice_links(spark, block):
     assert (links <= close.sum(1)).all() and links.sum() >= 0.9 * close.sum()
     assert all(found[k].n_links == 0 and found[k].component_id == k and found[k].kept for k, _ in odd)
     assert all(found[k].component_id <= k for k in range(len(x)))
+
+
+def test_memory_of_done_work_goes_back():
+    import psutil
+
+    from failcast.llm.common import give_back
+
+    # Small blocks stay with the allocator when they are freed under a block that is still held.
+    blocks = [bytes(1 << 12) for _ in range(40_000)]
+    held = [bytes(1 << 12) for _ in range(8)]
+    del blocks
+    before = psutil.Process().memory_info().rss
+    give_back()
+    after = psutil.Process().memory_info().rss
+    assert len(held) == 8 and after < before - (64 << 20)
