@@ -326,7 +326,7 @@ def test_saved_preparation_reads_back(log, tmp_path):
 def test_oversampling_of_few_rows_is_dealt_over_tasks(spark):
     data = [(i, int(i < 3), [float(i), float(i % 3), 1.0]) for i in range(9003)]
     df = spark.createDataFrame(data, "id long, label int, a array<double>").withColumn("features", array_to_vector("a"))
-    made = resample.smote(df, keys=["id"]).filter("synthetic = 1")
+    made = resample.smote(df, keys=["id"], limit=3000).filter("synthetic = 1")
     counts = [r["n"] for r in made.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert sum(counts) == 8997 and len(counts) > 4 and max(counts) <= 8997 // 2
     points = [np.array(d[2]) for d in data[:3]]
