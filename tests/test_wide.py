@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from failcast.operators import components, dictionary, prep
+from failcast.operators import bagging, components, dictionary, models, prep, wide_forest
 
 
 def vectors(spark, points, sparse=False):
@@ -131,3 +131,77 @@ def test_positions_keep_rows_and_columns(spark):
     want = {v: i for i, v in enumerate(sorted({r[0] for r in rows} - {None, "zz"}))}
     assert all(r["at"] == want.get(r["value"]) for r in got.collect())
     assert dictionary.fit_dictionary(counts.limit(0)).count() == 0
+
+
+def test_forest_on_wide_rows_equals_brute_force(spark, tmp_path):
+    """Every split is the best of all features and limits; nodes hold the rows of the bag that come to them."""
+    width, n = wide_forest.WIDE + 904, 400
+    rng = np.random.default_rng(4)
+    points = np.zeros((n, width))
+    points[:, 0], points[:, 1] = rng.integers(-40, 40, n), rng.choice([0, 2.5], n)
+    points[np.arange(n), rng.integers(3, 40, n) ** 2] = 1
+    points[:, 2] = -3
+    label = ((points[:, 0] > 11) ^ (points[:, 5:400].sum(1) > 0)).astype(int)
+    as_vector = [Vectors.sparse(width, {int(i): float(p[i]) for i in np.flatnonzero(p)}) for p in points]
+    as_vector[7] = Vectors.dense(points[7])
+    rows = [(i, "d", int(y), v) for i, (y, v) in enumerate(zip(label, as_vector, strict=True))]
+    df = spark.createDataFrame(rows, ["ID", "DATE", "label", "features"]).repartition(4)
+    trees, depth, least, factor = 3, 4, 5, np.array([1.0, 2.0])
+    settings = {"n_estimators": trees, "max_depth": depth, "min_samples_leaf": least, "max_features": 1.0, "class_weight": {1: 2.0}}
+    model = models.fit(df, "rf", settings)
+    assert isinstance(model, wide_forest.WideForestModel)
+    feature, limit, left, right = (model.getOrDefault(p) for p in (model.feature, model.limit, model.left, model.right))
+    votes = np.array(model.getOrDefault(model.votes)).reshape(-1, 2)
+    bags = {r["ID"]: r["b"] for r in df.select("ID", bagging.bag_counts(trees).alias("b")).collect()}
+    starts, limits = wide_forest._bounds(df, width)
+    assert starts[3] - starts[2] == 0 and starts[2] - starts[1] == 1 and limits[starts[1]] == 1.25
+    assert 20 <= starts[1] - starts[0] <= 31
+
+    def gini(y, w):
+        c = np.bincount(y, w, 2) * factor
+        return c.sum() * (1 - ((c / c.sum()) ** 2).sum()) if c.sum() else 0.0
+
+    scores = np.zeros(n)
+
+    def check(node, some, w, tree, level):
+        y, whole = label[some], gini(label[some], w[some])
+        shares = np.bincount(y, w[some], 2) * factor
+        assert np.allclose(votes[node], shares / shares.sum())
+        gains = {}
+        for f in [0, 1, 2, *range(9, 1600)]:
+            for t in limits[starts[f] : starts[f + 1]]:
+                go = points[some, f] <= t
+                if min(w[some][go].sum(), w[some][~go].sum()) >= least:
+                    gains[f, t] = whole - gini(y[go], w[some][go]) - gini(y[~go], w[some][~go])
+        best = max(gains.values(), default=0.0)
+        if left[node] == node:
+            assert level == depth or best <= 1e-9
+            return
+        assert gains[feature[node], limit[node]] == pytest.approx(best)
+        go = points[some, feature[node]] <= limit[node]
+        check(left[node], some[go], w, tree, level + 1)
+        check(right[node], some[~go], w, tree, level + 1)
+
+    for t in range(trees):
+        w = np.array([bags[i][t] for i in range(n)], float)
+        check(t, np.flatnonzero(w), w, t, 0)
+        at = np.full(n, t)
+        for _ in range(depth):
+            at = np.where(points[np.arange(n), np.array(feature)[at]] <= np.array(limit)[at], np.array(left)[at], np.array(right)[at])
+        scores += votes[at, 1] / trees
+    model.write().overwrite().save(f"{tmp_path}/m")
+    for m in (model, wide_forest.WideForestModel.load(f"{tmp_path}/m")):
+        got = {r["ID"]: r["score"] for r in models.add_score(df, m).collect()}
+        assert np.allclose([got[i] for i in range(n)], scores)
+    classes = models.add_score(df, model, "c", "prediction").select("ID", "c").collect()
+    assert all(r["c"] == (scores[r["ID"]] > 0.5) for r in classes if abs(scores[r["ID"]] - 0.5) > 1e-9)
+
+
+def test_limits_of_rare_features(spark, monkeypatch):
+    """A feature that the sample misses, or sees with one value, can be split on all the same."""
+    monkeypatch.setattr(wide_forest, "SAMPLE_ROWS", 40)
+    rows = [(Vectors.sparse(4, {0: float(i % 100)} | ({1: 3.0} if i == 1 else {2: 2.0 + i} if i < 4 else {})),) for i in range(4000)]
+    starts, limits = wide_forest._bounds(spark.createDataFrame(rows, ["features"]), 4)
+    sizes = np.diff(starts)
+    assert sizes[0] > 15 and sizes[1] == 1 and sizes[2] >= 1 and sizes[3] == 0
+    assert limits[starts[1]] == 1.5 and 0 < limits[starts[2]] < 5
