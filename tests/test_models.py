@@ -12,9 +12,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from failcast.functions.columns import row_hash, within
-from failcast.operators import components, curves, forest, importance, models, prep, resample, splits
+from failcast.operators import components, curves, forest, importance, models, prep, resample, splits, wide_forest
 from failcast.plans import experiments as x
-from failcast.schema import CATEGORICAL, KEYS, SEED, SENSORS, numeric_features
+from failcast.schema import CATEGORICAL, CLASS_COST, KEYS, SEED, SENSORS, numeric_features
 from failcast.sources import machine_log, sinks, storage
 
 
@@ -250,6 +250,24 @@ def test_importance_finds_the_planted_sensor(rows, log):
     assert sorted(index) == list(range(n))
 
 
+def test_forests_with_machines_as_features_count_sparse_rows(log, monkeypatch):
+    """Four classes, two of them told apart by machine and sensor; bags are drawn by machine and day."""
+    seen = []
+
+    def spied(train, *args, **options):
+        seen.append((set(train.columns), args))
+        return wide_forest.fit_wide_forest(train, *args, **options)
+
+    monkeypatch.setattr(models, "WIDE", 8)
+    monkeypatch.setattr(models, "fit_wide_forest", spied)
+    small = {"n_estimators": 4, "max_depth": 4}
+    kinds = {"LogReg balanced": {"max_iter": 3}, "LogReg cost-sensitive": {"max_iter": 3}, "RF cost-sensitive": small}
+    out = x.run_multiclass(log, kinds).collect()
+    assert len(out) == 8 and sum(r["selected"] for r in out) == 2
+    ((columns, args),) = seen
+    assert {"ID", "DATE"} <= columns and args[-1] == CLASS_COST
+
+
 def test_three_horizons(log):
     small = {n: {"n_estimators": 5, "max_depth": 3} for n in ("NOW", "LE_7_DAYS", "LE_30_DAYS")}
     out = x.run_three_horizons(log, small).collect()
