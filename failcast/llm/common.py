@@ -150,9 +150,10 @@ def split_buckets(rows: DataFrame, key: str, member: str, block: int = BLOCK) ->
     cut into equal-hash blocks by ``member``, and a task meets each two blocks; a row goes to as many
     tasks as its bucket has blocks, so no task holds more than about two blocks. Returns the
     columns of ``rows`` with ``_left, _right`` (blocks of the task) and ``_mine`` (the row's own).
+    The join is a merge at every size: Spark does not see how many rows a Python function makes of one.
     """
     sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
-    sized = rows.join(sizes, key)
+    sized = rows.join(sizes.hint("merge"), key)
     blocks = F.ceil(F.col("_n") / block).cast("int")
     mine = F.pmod(F.xxhash64(F.lit("block"), F.col(member)), F.col("_blocks")).cast("int")
     sized = sized.withColumn("_blocks", blocks).withColumn("_mine", mine)

@@ -217,7 +217,7 @@ def _smoothed_cells(counts: DataFrame, shorter: DataFrame, kept: int) -> DataFra
     context = F.shiftright("cell", BITS)
     totals = counts.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     rows = counts.select("cell", "n", context.alias("context"), F.col("cell").bitwiseAND(kept).alias("rest"))
-    rows = rows.join(totals, "context").join(shorter.toDF("rest", "shorter"), "rest")
+    rows = rows.join(totals.hint("merge"), "context").join(shorter.toDF("rest", "shorter"), "rest")
     return rows.select("cell", ((F.col("n") - discount + discount * F.col("kinds") * F.col("shorter")) / F.col("total")).alias("p"))
 
 
@@ -233,7 +233,8 @@ def gram_evidence(cells: DataFrame) -> DataFrame:
     one = two.groupBy(F.col("cell").bitwiseAND(one_symbol).alias("cell")).agg(many).toArrow()
     shared = _smoothed(one.column("n").to_numpy(), np.float64(1 / SYMBOLS))
     least = spark.createDataFrame(pa.table({"cell": one.column("cell"), "p": shared}))
-    shorter = _smoothed_cells(three, _smoothed_cells(two, F.broadcast(least), one_symbol), two_symbols)
+    # The counts are many times smaller in their files than as rows: only the code points' join is a broadcast.
+    shorter = _smoothed_cells(three, _smoothed_cells(two, F.broadcast(least), one_symbol).hint("merge"), two_symbols).hint("merge")
 
     discounts = [_discount_of(cells, f"n{c}") for c in (0, 1)]
     totals = cells.groupBy("context").agg(
@@ -241,7 +242,7 @@ def gram_evidence(cells: DataFrame) -> DataFrame:
     )
     held = [F.when(F.col(f"t{c}") > 0, discounts[c] * F.col(f"k{c}") / F.col(f"t{c}")).otherwise(1.0) for c in (0, 1)]
     totals = totals.select("context", "t0", "t1", *(h.alias(f"h{c}") for c, h in enumerate(held)))
-    rows = cells.withColumn("rest", rest).join(totals, "context").join(shorter.toDF("rest", "shorter"), "rest")
+    rows = cells.withColumn("rest", rest).join(totals.hint("merge"), "context").join(shorter.toDF("rest", "shorter"), "rest")
     p0, p1 = (
         F.greatest(F.col(f"n{c}") - discounts[c], F.lit(0.0)) / F.greatest(F.col(f"t{c}"), F.lit(1))
         + F.col(f"h{c}") * F.col("shorter")
@@ -334,7 +335,8 @@ def with_evidence(docs: DataFrame, table: DataFrame, name: str) -> DataFrame:
 
     asked = dealt.groupBy(batch).applyInArrow(ask, "asker long, context long, symbols array<int>")
     found = F.transform("symbols", lambda s: F.coalesce(F.try_element_at("found", s), "held"))
-    answers = asked.join(table, "context").select("asker", "context", "symbols", found.alias("found"))
+    # What the texts ask is sized by Spark as if each text asked once.
+    answers = asked.join(table.hint("merge"), "context").select("asker", "context", "symbols", found.alias("found"))
     fields = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     return dealt.groupBy(batch).cogroup(answers.groupBy("asker")).applyInArrow(answer, fields)
 

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from failcast.llm import (
@@ -161,6 +162,16 @@ def test_simhash(spark):
         assert (found[i].fingerprint, found[i].component_id) == (f"{prints[i]:016x}", root[i])
 
 
+def test_rows_of_buckets_do_not_pass_the_driver(spark, capsys):
+    # A fingerprint becomes 65 rows, which Spark sizes as one; both sides of the join are made of these.
+    prints = spark.range(3000).select(F.xxhash64("id").alias("fp")).localCheckpoint()
+    links = simhash.fingerprint_links(prints)
+    links.collect()
+    links.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("block", [1024, 8])
 def test_fingerprint_links_lose_nothing(spark, block):
     rng = np.random.default_rng(4)

@@ -216,3 +216,16 @@ def test_bytes_that_are_no_text(spark):
     texts = pa.Array.from_buffers(pa.string(), 2, pa.array(["abcd", "ef"]).buffers()[:2] + [pa.py_buffer(b"ab\xff\xfeef")])
     assert sum(len(p.keys) for p in toxicity.grams(texts)) == 6
     assert np.isfinite(toxicity.text_evidence(texts, toxicity.Evidence(*(np.zeros(0, np.int64),) * 4, np.zeros(0)))).all()
+
+
+def test_counts_and_questions_do_not_pass_the_driver(spark, capsys):
+    schema = "doc_id long, text string, toxic int"
+    texts = [(i, f"word{i % 7} other{i % 5} more{i}", i % 2) for i in range(40)]
+    rows = spark.createDataFrame(texts, schema)
+    cells = toxicity.gram_counts(rows).localCheckpoint()
+    table = toxicity.gram_evidence(cells)
+    table.explain()
+    # Only the code points' table is a broadcast.
+    assert capsys.readouterr().out.count("BroadcastExchange") == 1
+    toxicity.with_evidence(rows, table.localCheckpoint(), "x").explain()
+    assert "BroadcastExchange" not in capsys.readouterr().out
