@@ -178,6 +178,25 @@ def test_a_shape_at_a_random_place_is_found(spark, tmp_path):
     assert area(test, PipelineModel.load(str(tmp_path / "m"))) == pytest.approx(area(test, model))
 
 
+def test_configurations_share_responses(spark):
+    rng = np.random.default_rng(8)
+    days = [(m, t, "train", Vectors.dense(rng.normal(size=3)), int(rng.integers(2))) for m in range(9) for t in range(12)]
+    vectors = spark.createDataFrame(days, ["ID", "DATE", "split", "features", "label"])
+    configs = [{"lstm_units": 4, "lstm_layers": 2, "epochs": 5}, {"lstm_units": 12, "lstm_layers": 2, "epochs": 5}]
+    rows, kernels = models.sequence_responses(vectors, configs, 5)
+    assert "features" not in rows.columns and len(rows.first()["responses"]) == 24
+    flat = models.sequence_rows(vectors, 5)
+    for c in configs:
+        shared = models.fit_responses(rows, c)
+        alone = models.fit_sequence_model(flat, c, length=5)
+        found = {(r.ID, r.DATE): r.score for r in models.add_score(rows, shared).collect()}
+        again = {(r.ID, r.DATE): r.score for r in models.add_score(flat, models.on_sequences(kernels, shared)).collect()}
+        expected = {(r.ID, r.DATE): r.score for r in models.add_score(flat, alone).collect()}
+        assert found.keys() == expected.keys() and len(found) == 9 * 8
+        for k, v in expected.items():
+            assert found[k] == pytest.approx(v, abs=1e-9) and again[k] == pytest.approx(v, abs=1e-9)
+
+
 def test_responses_equal_a_loop(spark):
     rng = np.random.default_rng(7)
     data = rng.normal(size=(12, 11, 4))
