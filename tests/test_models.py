@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from failcast.functions.columns import row_hash, within
 from failcast.operators import components, curves, forest, importance, models, prep, resample, splits, wide_forest
+from failcast.plans import catalog, model_queries
 from failcast.plans import experiments as x
 from failcast.schema import CATEGORICAL, CLASS_COST, KEYS, SEED, SENSORS, numeric_features
 from failcast.sources import machine_log, sinks, storage
@@ -359,3 +360,12 @@ def test_split_by_a_stored_hash(spark):
     stored = splits.stratified_split(df.withColumn("_h", row_hash(KEYS, SEED)), "label", hashed="_h")
     assert stored.columns == plain.columns
     assert sorted(stored.collect()) == sorted(plain.collect())
+
+
+@pytest.mark.parametrize("search", ["tune_random", "tune_sequences"])
+def test_tuning_queries_run_the_whole_search(monkeypatch, search):
+    asked = []
+    monkeypatch.setattr(model_queries, "daily_panel", lambda *_: "log")
+    monkeypatch.setattr(x, search, lambda *args, **limits: asked.append((args, limits)) or ["table"])
+    catalog.QUERIES[{"tune_random": "random_tune", "tune_sequences": "sequence_tune"}[search]](None, "")
+    assert asked == [(("log",), {})]
